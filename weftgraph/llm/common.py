@@ -66,3 +66,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return near.unionByName(far)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound what a Python worker holds of texts at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
