@@ -31,13 +31,17 @@ THRESHOLD = 0.8
 #: with probability 0.8 ** 4, at least one of 24 with probability 0.99999.
 SKETCHES = 24
 PICKS = 4
+#: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
+#: a passage) are dealt anew by sketches of more shingles, which shared passages rarely fill.
+CROWD = 16
+FINE_SKETCHES = 64
+FINE_PICKS = 8
 #: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
 MAX_WORDS_KEPT = 400_000
 
-_SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
-_XOR, _MUL = _SEEDS[0][:, None], (_SEEDS[1] | np.uint64(1))[:, None]
+_SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES + FINE_SKETCHES), dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,22 +85,24 @@ def shingles(words: list[str], hashes: dict[str, int]) -> np.ndarray:
     return x
 
 
-def sketch(x: np.ndarray) -> list[int]:
+def sketch(x: np.ndarray, fine: bool = False) -> list[int]:
     """Bucket keys of a text with labelled shingles ``x``; none for a text without words."""
     if not len(x):
         return []
-    y = (x[None, :] ^ _XOR) * _MUL
+    span, most = (slice(SKETCHES, None), FINE_PICKS) if fine else (slice(0, SKETCHES), PICKS)
+    xor, mul = _SEEDS[0][span, None], _SEEDS[1][span, None] | np.uint64(1)
+    y = (x[None, :] ^ xor) * mul
     y ^= y >> np.uint64(31)
-    picks, rows = [], np.arange(SKETCHES)
-    for _ in range(min(PICKS, len(x))):
+    picks, rows = [], np.arange(len(xor))
+    for _ in range(min(most, len(x))):
         at = y.argmin(axis=1)
         picks.append(at)
         y[rows, at] = np.uint64(2**64 - 1)
     spots = np.sort(np.stack(picks, axis=1), axis=1)
-    key = rows.astype(np.uint64) * _Q
+    key = (rows + span.start).astype(np.uint64) * _Q
     for i in range(spots.shape[1]):
         key = _mix(key * _P + x[spots[:, i]])
-    if len(x) <= SHORT:
+    if len(x) <= SHORT and not fine:
         prefix = np.sort(x)[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-9)) + 1]
         key = np.concatenate([key, _mix(prefix + np.uint64(77))])
     return np.unique(key.view(np.int64)).tolist()
@@ -145,6 +151,23 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
 
 
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        buckets = [sketch(shingles(words_of(text.as_py()), hashes), fine=True) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int64()))], names=["doc", "buckets"])
+
+
+def _rows(spread: DataFrame, total: int) -> DataFrame:
+    """``bucket, doc, degree`` of the rows (doc, bucket) whose bucket has another text."""
+    several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    n_blocks = bloom.blocks_for(several.count())
+    shared = bloom.probe(spread, F.col("bucket"), bloom.build(several, "bucket", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
+    shared = join_groups(shared, several, "bucket", "size", total)
+    by_doc = shared.groupBy("doc").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"))
+    return materialise(by_doc.select(F.explode("buckets").alias("bucket"), "doc", "degree"), "rows")
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -180,6 +203,7 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     Every bucket elects as leader the text that shares most buckets with others; the
     rest are aligned with it. Texts that aren't close to their leader go on to the next
     round, where each bucket has four times as many leaders, until no bucket has two texts left.
+    After the first round the texts of crowded buckets get fine buckets in their place.
     """
     spark = rows.sparkSession
     known = spark.createDataFrame([], "a long, b long, ok boolean")
@@ -198,7 +222,13 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         left = met.join(known, ["a", "b"]).groupBy("bucket", "b").agg(F.max("ok").alias("ok"), F.max("degree").alias("degree"))
         left = materialise(left.filter("not ok").join(heads, ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("doc"), "degree"), "left")
         several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = materialise(join_groups(left, several, "bucket", "size", total).select("bucket", "doc", "degree"), "rows")
+        sized = join_groups(left, several, "bucket", "size", total)
+        if leaders == 1:
+            crowd = sized.filter(F.col("size") > CROWD).select(F.col("doc").alias("doc_id")).distinct()
+            fine = materialise(texts.join(crowd, "doc_id").select("doc_id", "text").mapInArrow(_finely, "doc long, buckets array<long>"), "fine")
+            fine = _rows(fine.select("doc", F.explode("buckets").alias("bucket")), total)
+            sized = sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine)
+        rows = materialise(sized.select("bucket", "doc", "degree"), "rows")
         leaders *= 4
     return known.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -222,14 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = base.groupBy("key").agg(F.min(F.struct("doc_id", "shingles", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
     unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.buckets").alias("buckets")), "unique")
 
-    spread = unique.select(F.col("rep").alias("doc"), F.explode("buckets").alias("bucket"))
-    several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    n_blocks = bloom.blocks_for(several.count())
-    shared = bloom.probe(spread, F.col("bucket"), bloom.build(several, "bucket", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
-    shared = join_groups(shared, several, "bucket", "size", n_docs * SKETCHES)
-    by_doc = shared.groupBy("doc").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"))
-    rows = materialise(by_doc.select(F.explode("buckets").alias("bucket"), "doc", "degree"), "rows")
-
+    rows = _rows(unique.select(F.col("rep").alias("doc"), F.explode("buckets").alias("bucket")), n_docs * SKETCHES)
     ids = materialise(rows.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     n_blocks = bloom.blocks_for(ids.count())
     maybe = bloom.probe(given, F.col("doc_id"), bloom.build(ids, "doc_id", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
