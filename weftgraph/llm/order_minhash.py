@@ -18,7 +18,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -32,16 +32,14 @@ THRESHOLD = 0.8
 SKETCHES = 24
 PICKS = 4
 #: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
-#: a passage) are dealt anew by sketches of more shingles, which shared passages rarely fill.
+#: a passage, say) are dealt anew by their rarest shingles, which misses no pair.
 CROWD = 16
-FINE_SKETCHES = 64
-FINE_PICKS = 8
 #: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
 MAX_WORDS_KEPT = 400_000
 
-_SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES + FINE_SKETCHES), dtype=np.uint64)
+_SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,24 +83,22 @@ def shingles(words: list[str], hashes: dict[str, int]) -> np.ndarray:
     return x
 
 
-def sketch(x: np.ndarray, fine: bool = False) -> list[int]:
+def sketch(x: np.ndarray) -> list[int]:
     """Bucket keys of a text with labelled shingles ``x``; none for a text without words."""
     if not len(x):
         return []
-    span, most = (slice(SKETCHES, None), FINE_PICKS) if fine else (slice(0, SKETCHES), PICKS)
-    xor, mul = _SEEDS[0][span, None], _SEEDS[1][span, None] | np.uint64(1)
-    y = (x[None, :] ^ xor) * mul
+    y = (x[None, :] ^ _SEEDS[0][:, None]) * (_SEEDS[1][:, None] | np.uint64(1))
     y ^= y >> np.uint64(31)
-    picks, rows = [], np.arange(len(xor))
-    for _ in range(min(most, len(x))):
+    picks, rows = [], np.arange(SKETCHES)
+    for _ in range(min(PICKS, len(x))):
         at = y.argmin(axis=1)
         picks.append(at)
         y[rows, at] = np.uint64(2**64 - 1)
     spots = np.sort(np.stack(picks, axis=1), axis=1)
-    key = (rows + span.start).astype(np.uint64) * _Q
+    key = rows.astype(np.uint64) * _Q
     for i in range(spots.shape[1]):
         key = _mix(key * _P + x[spots[:, i]])
-    if len(x) <= SHORT and not fine:
+    if len(x) <= SHORT:
         prefix = np.sort(x)[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-9)) + 1]
         key = np.concatenate([key, _mix(prefix + np.uint64(77))])
     return np.unique(key.view(np.int64)).tolist()
@@ -151,21 +147,42 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
 
 
-def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        buckets = [sketch(shingles(words_of(text.as_py()), hashes), fine=True) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int64()))], names=["doc", "buckets"])
+        found = [shingles(words_of(text.as_py()), hashes).view(np.int64) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
 
-def _rows(spread: DataFrame, total: int) -> DataFrame:
-    """``bucket, doc, degree`` of the rows (doc, bucket) whose bucket has another text."""
-    several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """``bucket, doc, rank, lead`` by prefix filtering, which misses no pair.
+
+    With the n shingles of a text in order of rarity, two texts of ``threshold`` share one among
+    the first n - ceil(threshold * n) + 1 of the longer (it may follow) and the first
+    n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead).
+    """
+    listed = materialise(texts.mapInArrow(_labelled, "doc long, shingles array<long>"), "labelled")
+    flat = listed.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    total = listed.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    several = materialise(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "frequent")
+    ranked = join_groups(flat, several, "bucket", "size", total).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("size", "bucket"))).alias("ranked"))
+    lone = F.col("n") - F.size("ranked")
+    follow = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
+    lead = F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9).cast("int") + 1
+    chosen = ranked.filter(follow > lone).select("doc", "n", (lead - lone).alias("lead"), F.posexplode(F.slice("ranked", F.lit(1), follow - lone)).alias("at", "pick"))
+    spread = chosen.select("doc", "n", F.col("pick.bucket").alias("bucket"), (F.col("at") < F.col("lead")).alias("lead"))
+    return _rows(spread, total, -F.first("n").cast("long"))
+
+
+def _rows(spread: DataFrame, total: int, rank: Column) -> DataFrame:
+    """``bucket, doc, rank, lead`` of the rows (doc, bucket, lead) whose bucket has another text and one to lead."""
+    several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led"), "buckets")
     n_blocks = bloom.blocks_for(several.count())
     shared = bloom.probe(spread, F.col("bucket"), bloom.build(several, "bucket", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
     shared = join_groups(shared, several, "bucket", "size", total)
-    by_doc = shared.groupBy("doc").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"))
-    return materialise(by_doc.select(F.explode("buckets").alias("bucket"), "doc", "degree"), "rows")
+    by_doc = shared.groupBy("doc").agg(rank.alias("rank"), F.collect_list(F.struct("bucket", "lead")).alias("spots"))
+    spots = by_doc.select("doc", "rank", F.explode("spots").alias("spot"))
+    return materialise(spots.select("spot.bucket", "doc", "rank", "spot.lead"), "rows")
 
 
 def _verified(threshold: float):
@@ -198,37 +215,41 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links among ``rows`` (bucket, doc, degree).
-
-    Every bucket elects as leader the text that shares most buckets with others; the
-    rest are aligned with it. Texts that aren't close to their leader go on to the next
-    round, where each bucket has four times as many leaders, until no bucket has two texts left.
-    After the first round the texts of crowded buckets get fine buckets in their place.
+    """Verified links among ``rows`` (bucket, doc, rank, lead).
+
+    Every bucket elects as leader the text of the highest rank (the one that shares most
+    buckets with others); the rest are aligned with it. Texts that aren't close to their
+    leader go on to the next round, where each bucket has four times as many leaders, until
+    no bucket has a text to lead another. After the first round the texts of crowded buckets
+    are dealt anew by ``_rarest``, which ranks the shortest first; there a text that may only
+    follow isn't compared with a lower rank.
     """
     spark = rows.sparkSession
     known = spark.createDataFrame([], "a long, b long, ok boolean")
     leaders = 1
     while total := rows.count():
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        standing = F.struct("rank", (-F.col("doc")).alias("minus"))
         part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
-        chosen = rows.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("top"))
-        chosen = chosen.select("bucket", (-F.col("top.minus")).alias("leader")).join(sizes, "bucket")
-        met = join_groups(rows, chosen, "bucket", "size", total).filter("doc != leader")
-        met = materialise(met.select("bucket", F.col("leader").alias("a"), F.col("doc").alias("b"), "degree"), "met")
+        chosen = rows.filter("lead").groupBy("bucket", part.alias("part")).agg(F.max(standing).alias("top"))
+        chosen = materialise(chosen.select("bucket", "top").join(sizes, "bucket"), "chosen")
+        met = join_groups(rows, chosen, "bucket", "size", total)
+        met = met.filter((F.col("doc") != -F.col("top.minus")) & (F.col("lead") | (standing < F.col("top"))))
+        met = materialise(met.select("bucket", (-F.col("top.minus")).alias("a"), F.col("doc").alias("b"), "rank", "lead"), "met")
         fresh = materialise(met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
         tested = verify(fresh, texts, threshold).select("a", "b", (F.col("similarity") >= threshold).alias("ok"))
         known = materialise(known.unionByName(tested), "known")
-        heads = chosen.select("bucket", F.col("leader").alias("b"))
-        left = met.join(known, ["a", "b"]).groupBy("bucket", "b").agg(F.max("ok").alias("ok"), F.max("degree").alias("degree"))
-        left = materialise(left.filter("not ok").join(heads, ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("doc"), "degree"), "left")
-        several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        heads = chosen.select("bucket", (-F.col("top.minus")).alias("b"))
+        left = met.join(known, ["a", "b"]).groupBy("bucket", "b").agg(F.max("ok").alias("ok"), F.max("rank").alias("rank"), F.max("lead").alias("lead"))
+        left = left.filter("not ok").join(heads, ["bucket", "b"], "left_anti")
+        left = materialise(left.select("bucket", F.col("b").alias("doc"), "rank", "lead"), "left")
+        several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led")
         sized = join_groups(left, several, "bucket", "size", total)
         if leaders == 1:
             crowd = sized.filter(F.col("size") > CROWD).select(F.col("doc").alias("doc_id")).distinct()
-            fine = materialise(texts.join(crowd, "doc_id").select("doc_id", "text").mapInArrow(_finely, "doc long, buckets array<long>"), "fine")
-            fine = _rows(fine.select("doc", F.explode("buckets").alias("bucket")), total)
+            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold)
             sized = sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine)
-        rows = materialise(sized.select("bucket", "doc", "degree"), "rows")
+        rows = materialise(sized.select("bucket", "doc", "rank", "lead"), "rows")
         leaders *= 4
     return known.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -252,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = base.groupBy("key").agg(F.min(F.struct("doc_id", "shingles", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
     unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.buckets").alias("buckets")), "unique")
 
-    rows = _rows(unique.select(F.col("rep").alias("doc"), F.explode("buckets").alias("bucket")), n_docs * SKETCHES)
+    spread = unique.select(F.col("rep").alias("doc"), F.explode("buckets").alias("bucket"), F.lit(True).alias("lead"))
+    rows = _rows(spread, n_docs * SKETCHES, F.sum("size"))
     ids = materialise(rows.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     n_blocks = bloom.blocks_for(ids.count())
     maybe = bloom.probe(given, F.col("doc_id"), bloom.build(ids, "doc_id", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
