@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import join_groups, materialise, small_batches
+from .common import MAX_HOT_GROUPS, join_groups, materialise, small_batches
 from .components import components
 
 WORDS = 5
@@ -34,6 +35,9 @@ PICKS = 4
 #: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
 #: a passage, say) are dealt anew by their rarest shingles, which misses no pair.
 CROWD = 16
+#: Counters (64 blocks of 65,536) that estimate how often a shingle occurs in crowded buckets.
+CELLS = 1 << 22
+BLOCK = 1 << 16
 #: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
@@ -147,42 +151,75 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, cells = _Hashes(), np.zeros(CELLS, np.uint32)
     for batch in batches:
-        found = [shingles(words_of(text.as_py()), hashes).view(np.int64) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
+        for text in batch.column(1):
+            np.add.at(cells, (shingles(words_of(text.as_py()), hashes) >> np.uint64(42)).astype(np.int64), 1)
+    full = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
+    data = [cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint32)
+    for data in table.column("counts"):
+        total += np.frombuffer(data.as_py(), np.uint32)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(cells: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        kinds = pa.list_(pa.struct([("bucket", pa.int64()), ("at", pa.int64()), ("lead", pa.bool_())]))
+        for batch in batches:
+            sizes, spots = [], []
+            for text in batch.column(1):
+                x = shingles(words_of(text.as_py()), hashes)
+                n, often = len(x), cells[(x >> np.uint64(42)).astype(np.int64)]
+                order = np.lexsort((x, often))
+                follow = n - int(np.ceil(threshold * n - 1e-9)) + 1
+                lead = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+                keys = x.view(np.int64)
+                spots.append([{"bucket": int(keys[i]), "at": at, "lead": at < lead} for at, i in enumerate(order[:follow].tolist()) if often[i] > 1])
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spots, kinds)], names=["doc", "n", "spots"])
+
+    return run
 
 
-def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
-    """``bucket, doc, rank, lead`` by prefix filtering, which misses no pair.
+def _rarest(texts: DataFrame, threshold: float, total: int) -> DataFrame:
+    """``_rows`` by prefix filtering, which misses no pair.
 
     With the n shingles of a text in order of rarity, two texts of ``threshold`` share one among
     the first n - ceil(threshold * n) + 1 of the longer (it may follow) and the first
-    n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead).
+    n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead). Any order will
+    do; rarity is estimated by ``CELLS`` counters, so a shingle counted once has no partner.
     """
-    listed = materialise(texts.mapInArrow(_labelled, "doc long, shingles array<long>"), "labelled")
-    flat = listed.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
-    total = listed.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    several = materialise(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "frequent")
-    ranked = join_groups(flat, several, "bucket", "size", total).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("size", "bucket"))).alias("ranked"))
-    lone = F.col("n") - F.size("ranked")
-    follow = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
-    lead = F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9).cast("int") + 1
-    chosen = ranked.filter(follow > lone).select("doc", "n", (lead - lone).alias("lead"), F.posexplode(F.slice("ranked", F.lit(1), follow - lone)).alias("at", "pick"))
-    spread = chosen.select("doc", "n", F.col("pick.bucket").alias("bucket"), (F.col("at") < F.col("lead")).alias("lead"))
-    return _rows(spread, total, -F.first("n").cast("long"))
+    spark = texts.sparkSession
+    parts = texts.mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary")
+    cells = np.zeros(CELLS, np.uint32)
+    for row in parts.collect():
+        cells[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
+    shared = spark.sparkContext.broadcast(cells)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _prefixes(shared.value, threshold)(batches)
+
+    found = materialise(texts.mapInArrow(prefixes, "doc long, n long, spots array<struct<bucket: long, at: long, lead: boolean>>"), "prefixes")
+    spread = found.select("doc", "n", F.explode("spots").alias("spot")).select("doc", "n", "spot.*")
+    return _rows(spread, total, -F.first("n"))
 
 
 def _rows(spread: DataFrame, total: int, rank: Column) -> DataFrame:
-    """``bucket, doc, rank, lead`` of the rows (doc, bucket, lead) whose bucket has another text and one to lead."""
+    """``bucket, doc, n, at, rank, lead`` of the rows of ``spread`` whose bucket has another text and one to lead."""
     several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led"), "buckets")
     n_blocks = bloom.blocks_for(several.count())
     shared = bloom.probe(spread, F.col("bucket"), bloom.build(several, "bucket", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
     shared = join_groups(shared, several, "bucket", "size", total)
-    by_doc = shared.groupBy("doc").agg(rank.alias("rank"), F.collect_list(F.struct("bucket", "lead")).alias("spots"))
-    spots = by_doc.select("doc", "rank", F.explode("spots").alias("spot"))
-    return materialise(spots.select("spot.bucket", "doc", "rank", "spot.lead"), "rows")
+    by_doc = shared.groupBy("doc").agg(rank.alias("rank"), F.first("n").alias("n"), F.collect_list(F.struct("bucket", "at", "lead")).alias("spots"))
+    spots = by_doc.select("doc", "rank", "n", F.explode("spots").alias("spot"))
+    return materialise(spots.select("spot.bucket", "doc", "n", "spot.at", "rank", "spot.lead"), "rows")
 
 
 def _verified(threshold: float):
@@ -200,10 +237,11 @@ def _verified(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b, similarity`` of the distinct ``pairs`` (a, b); a leader with many partners is salted."""
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 256")
-    salts = counts.select("a", F.ceil(F.col("__n") / 256).cast("int").alias("__salts"))
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame:
+    """``a, b, similarity`` of the ``total`` distinct ``pairs`` (a, b); a leader with many partners is salted."""
+    limit = max(256, total // MAX_HOT_GROUPS)
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    salts = F.broadcast(counts.select("a", F.ceil(F.col("__n") / limit).cast("int").alias("__salts")))
     salted = pairs.join(salts, "a", "left").withColumn(
         "__salt", F.pmod(F.xxhash64("b"), F.coalesce("__salts", F.lit(1))).cast("int")
     ).drop("__salts")
@@ -215,43 +253,50 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links among ``rows`` (bucket, doc, rank, lead).
+    """Verified links among ``rows`` (bucket, doc, n, at, rank, lead).
 
     Every bucket elects as leader the text of the highest rank (the one that shares most
-    buckets with others); the rest are aligned with it. Texts that aren't close to their
-    leader go on to the next round, where each bucket has four times as many leaders, until
-    no bucket has a text to lead another. After the first round the texts of crowded buckets
-    are dealt anew by ``_rarest``, which ranks the shortest first; there a text that may only
-    follow isn't compared with a lower rank.
+    buckets with others); the rest are aligned with it, unless their lengths, or their places
+    in the order of rarity, rule out ``threshold``. Texts that aren't close to their
+    leader go on to the next round with more leaders a bucket, until no text can lead.
+    After the first round the texts of crowded buckets are dealt anew by ``_rarest``, which
+    ranks the shortest first; there a text that may only follow isn't compared with a lower rank.
     """
-    spark = rows.sparkSession
-    known = spark.createDataFrame([], "a long, b long, ok boolean")
-    leaders = 1
-    while total := rows.count():
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    found, leaders, rounds = [], 1, 0
+    while (total := rows.count()) and rows.filter("lead").limit(1).count():
         standing = F.struct("rank", (-F.col("doc")).alias("minus"))
         part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
-        chosen = rows.filter("lead").groupBy("bucket", part.alias("part")).agg(F.max(standing).alias("top"))
-        chosen = materialise(chosen.select("bucket", "top").join(sizes, "bucket"), "chosen")
+        chosen = rows.filter("lead").groupBy("bucket", part.alias("part")).agg(F.max(F.struct("rank", (-F.col("doc")).alias("minus"), "n", "at")).alias("top"))
+        if leaders > 1:
+            sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+            chosen = chosen.join(sizes, "bucket")
+        else:
+            sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("lead"), F.struct("rank", (-F.col("doc")).alias("minus"), "n", "at"))).alias("top"))
+            chosen = sizes.filter("top is not null")
+        head = F.struct("top.rank", "top.minus")
+        chosen = materialise(chosen.select("bucket", "size", head.alias("head"), F.col("top.n").alias("top_n"), F.col("top.at").alias("top_at")), "chosen")
+        least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("top_n")) - 1e-9)
         met = join_groups(rows, chosen, "bucket", "size", total)
-        met = met.filter((F.col("doc") != -F.col("top.minus")) & (F.col("lead") | (standing < F.col("top"))))
-        met = materialise(met.select("bucket", (-F.col("top.minus")).alias("a"), F.col("doc").alias("b"), "rank", "lead"), "met")
-        fresh = materialise(met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        tested = verify(fresh, texts, threshold).select("a", "b", (F.col("similarity") >= threshold).alias("ok"))
-        known = materialise(known.unionByName(tested), "known")
-        heads = chosen.select("bucket", (-F.col("top.minus")).alias("b"))
-        left = met.join(known, ["a", "b"]).groupBy("bucket", "b").agg(F.max("ok").alias("ok"), F.max("rank").alias("rank"), F.max("lead").alias("lead"))
-        left = left.filter("not ok").join(heads, ["bucket", "b"], "left_anti")
-        left = materialise(left.select("bucket", F.col("b").alias("doc"), "rank", "lead"), "left")
-        several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led")
-        sized = join_groups(left, several, "bucket", "size", total)
-        if leaders == 1:
+        met = met.filter((F.col("doc") != -F.col("head.minus")) & (F.col("lead") | (standing < F.col("head"))))
+        met = met.filter((least <= F.col("n") - F.col("at")) & (least <= F.col("top_n") - F.col("top_at")))
+        met = materialise(met.select("bucket", (-F.col("head.minus")).alias("a"), F.col("doc").alias("b")), "met")
+        pairs = materialise(met.select("a", "b").distinct(), "pairs")
+        tested = verify(pairs, texts, threshold, pairs.count()).filter(F.col("similarity") >= threshold)
+        ok = materialise(tested.select("a", "b"), "ok")
+        found.append(ok)
+        gone = met.join(ok, ["a", "b"]).select("bucket", F.col("b").alias("doc")).unionByName(chosen.select("bucket", (-F.col("head.minus")).alias("doc")))
+        left = materialise(rows.join(gone, ["bucket", "doc"], "left_anti"), "left")
+        if not rounds:
+            several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led")
+            sized = materialise(join_groups(left, several, "bucket", "size", total), "sized")
             crowd = sized.filter(F.col("size") > CROWD).select(F.col("doc").alias("doc_id")).distinct()
-            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold)
-            sized = sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine)
-        rows = materialise(sized.select("bucket", "doc", "rank", "lead"), "rows")
-        leaders *= 4
-    return known.filter("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold, total)
+            left = materialise(sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine), "rows")
+        rows = left
+        rounds += 1
+        leaders = leaders if rounds == 1 else leaders * 8
+    links = reduce(DataFrame.unionByName, found) if found else rows.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -271,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialise(given.mapInArrow(_sketched, _SKETCHED), "sketches")
     n_docs = base.count()
     first = base.groupBy("key").agg(F.min(F.struct("doc_id", "shingles", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.buckets").alias("buckets")), "unique")
+    unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.shingles").alias("n"), F.col("first.buckets").alias("buckets")), "unique")
 
-    spread = unique.select(F.col("rep").alias("doc"), F.explode("buckets").alias("bucket"), F.lit(True).alias("lead"))
+    spread = unique.select(F.col("rep").alias("doc"), "n", F.explode("buckets").alias("bucket"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("lead"))
     rows = _rows(spread, n_docs * SKETCHES, F.sum("size"))
     ids = materialise(rows.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     n_blocks = bloom.blocks_for(ids.count())
