@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, order_minhash
+from . import exact_dedup, language_id, media, order_minhash, secrets, sentencepiece_bpe
 from .common import documents
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_columns": op3_media_columns,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_order_minhash": op5_order_minhash,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
