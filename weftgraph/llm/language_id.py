@@ -81,8 +81,7 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = _lowered()
     total = np.zeros(0x110000, np.int64)
     for batch in batches:
-        for text in batch.column(1):
-            total += np.bincount(low[codes_of(text.as_py() or "")], minlength=0x110000)
+        total += np.bincount(low[codes_of("".join(batch.column(1).to_pylist()))], minlength=0x110000)
     found = np.flatnonzero(total[1:]) + 1
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["letter", "n"])
 
@@ -91,9 +90,11 @@ def _grams(classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = trigrams(classes[codes_of(text.as_py() or "")])
-                counts[lang] = counts.get(lang, 0) + np.bincount(grams, minlength=1 << 21)
+            grams: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams.setdefault(lang, []).append(trigrams(classes[codes_of(text)]))
+            for lang, found in grams.items():
+                counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(found), minlength=1 << 21)
         for lang, count in counts.items():
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["lang", "gram", "n"])
@@ -137,12 +138,13 @@ def _mixed(counts: np.ndarray, chances: np.ndarray, starts: np.ndarray, sizes: n
     of = np.repeat(np.arange(len(starts)), sizes)
     total = np.add.reduceat(counts, starts)
     share = np.full((len(starts), chances.shape[1]), 1 / chances.shape[1])
+    ones = np.ones(chances.shape[1])
     for _ in range(ROUNDS):
         part = chances * share[of]
-        part *= (counts / part.sum(axis=1))[:, None]
+        part *= (counts / (part @ ones))[:, None]
         share = np.add.reduceat(part, starts, axis=0) / total[:, None]
         share = np.maximum(share, 1e-9)
-    return share, np.add.reduceat(counts * np.log((chances * share[of]).sum(axis=1)), starts)
+    return share, np.add.reduceat(counts * np.log((chances * share[of]) @ ones), starts)
 
 
 def predict(model: Model, classes: np.ndarray, table: np.ndarray, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, media, order_minhash, secrets, sentencepiece_bpe
+from . import chat_format, exact_dedup, html_extract, language_id, media, mixing, order_minhash, secrets, sentencepiece_bpe, sharding
 from .common import documents
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    control = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_turns(rows.select(*more.columns).unionByName(more)))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -23,6 +35,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -31,18 +47,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), max_repetition=2.0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
+    "op2_chat_format": op2_chat_format,
     "op3_media_columns": op3_media_columns,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_order_minhash": op5_order_minhash,
+    "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op6_sharding": sharding.ORACLE,
+    "op9_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
