@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -24,7 +25,7 @@ from .common import small_batches
 
 SPACE = "▁"
 #: A worker keeps the first this many words it meets, and starts anew after as many misses; longer words aren't kept.
-MAX_WORDS_KEPT = 600_000
+MAX_WORDS_KEPT = 1_000_000
 MAX_MISSES = 4_000_000
 MAX_WORD_KEPT = 48
 CHECK_EVERY = 4
@@ -55,27 +56,25 @@ class Encoder:
         symbols: list[str | None] = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        scores = self.scores
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                both = symbols[i] + symbols[j]
-                if both in scores:
-                    heapq.heappush(agenda, (-scores[both], i, j, both))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        score = self.scores.get
+        pairs = map(str.__add__, word, word[1:])
+        agenda = [(-x, i, both) for i, both in enumerate(pairs) if (x := score(both)) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, both = heapq.heappop(agenda)
-            if symbols[i] is None or symbols[j] is None or after[i] != j or len(symbols[i]) + len(symbols[j]) != len(both):
+            _, i, both = heapq.heappop(agenda)
+            left, j = symbols[i], after[i]
+            # an entry is stale if either symbol has been merged since
+            if left is None or j >= n or len(left) + len(symbols[j]) != len(both) or not both.startswith(left):
                 continue
             symbols[i], symbols[j] = both, None
             after[i] = k = after[j]
+            h = before[i]
             if k < n:
                 before[k] = i
-            propose(before[i], i)
-            propose(i, k)
+                if (x := score(more := both + symbols[k])) is not None:
+                    heapq.heappush(agenda, (-x, i, more))
+            if h >= 0 and (x := score(more := symbols[h] + both)) is not None:
+                heapq.heappush(agenda, (-x, h, more))
         out: list[int] = []
         for s in symbols:
             if s is None:
@@ -111,13 +110,19 @@ class Encoder:
         return ids
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model_path: str) -> Encoder:
+    """One encoder a process, so that its words outlive a task."""
+    return Encoder(model_path)
+
+
 def _sha(text: str) -> str:
     return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _run(model_path: str, with_ids: bool, check_every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        encoder = encoder_of(model_path)
         library = encoder.library
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
