@@ -76,13 +76,13 @@ def chunk_by_heading(text: str, largest: int = 2000) -> list[tuple[str, str]]:
 
 def summary(text: Column, size: int = 200) -> Column:
     """The first ``size`` characters, cut at the last word, with dots."""
-    head = F.regexp_replace(F.substring(text, 1, size), r"\s+\S*$", "")
+    head = F.regexp_replace(F.substring(text, 1, size), r"\s+\S*\z", "")
     return F.when(F.length(text) <= size, text).otherwise(F.concat(head, F.lit("...")))
 
 
 def slug(text: Column) -> Column:
     """Lower case, other characters than letters and digits to ``_``; above 40 characters 33 of them and 6 of a digest."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+\z", "")
     return F.when(F.length(s) > 40, F.concat(F.substring(s, 1, 33), F.lit("_"), F.substring(F.sha2(text.cast("binary"), 256), 1, 6))).otherwise(s)
 
 

@@ -21,7 +21,8 @@ def of_kind(edges: DataFrame, kind: str | None) -> DataFrame:
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    swap = {"src": "dst", "dst": "src"}
+    return edges.select([F.col(swap.get(c, c)).alias(c) for c in edges.columns])
 
 
 def _seed(spark: SparkSession, start: str, **more) -> DataFrame:

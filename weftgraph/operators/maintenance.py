@@ -48,9 +48,9 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: stale edges (an end is missing) and their share."""
     ids = nodes.select("id")
     good = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    total = edges.agg(F.count(F.lit(1)).alias("n_edges"))
-    fine = good.agg(F.count(F.lit(1)).alias("n_good"))
-    return total.join(F.broadcast(fine)).select("n_edges", (F.col("n_edges") - F.col("n_good")).alias("n_stale"))
+    one = F.count(F.lit(1)).cast("long")
+    counted = edges.agg(one.alias("n_edges"), F.lit(0).cast("long").alias("n_good")).unionByName(good.agg(F.lit(0).cast("long").alias("n_edges"), one.alias("n_good")))
+    return counted.agg(F.sum("n_edges").alias("n_edges"), (F.sum("n_edges") - F.sum("n_good")).alias("n_stale"))
 
 
 def consolidate(mentions: DataFrame, threshold: float = 0.7, min_size: int = 2) -> DataFrame:

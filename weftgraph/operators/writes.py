@@ -116,8 +116,8 @@ def merge_node(catalog: Catalog, source: str, target: str, now_ms: int) -> Catal
         if not exists(nodes, ident):
             raise NodeNotFound(ident)
     names = [c for c in nodes.columns if c not in ("id", "kind")]
-    gaps = nodes.filter(_is(source)).select(*[F.col(f"`{c}`").alias(f"__s_{c}") for c in names]).limit(1)
-    hit = nodes.filter(_is(target)).join(F.broadcast(gaps))  # one row on either side
+    gaps = nodes.filter(_is(source)).select(F.lit(target).alias("id"), *[F.col(f"`{c}`").alias(f"__s_{c}") for c in names]).limit(1)
+    hit = nodes.filter(_is(target)).join(F.broadcast(gaps), "id")
     now = {"__updated_at__": F.lit(now_ms).cast("long")}
     merged = hit.select("id", "kind", *[now.get(c, F.coalesce(f"`{c}`", f"`__s_{c}`")).alias(c) for c in names])
     rest = nodes.filter((F.col("id") != source) & (F.col("id") != target))
