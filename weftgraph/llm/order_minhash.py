@@ -41,7 +41,7 @@ BLOCK = 1 << 16
 #: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
-MAX_WORDS_KEPT = 400_000
+MAX_WORDS_KEPT = 250_000
 
 _SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
