@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, release_memory, small_batches
 
 #: The model is fitted on at most this many labelled texts, those with the smallest hashes.
 SAMPLE = 8_000
@@ -207,6 +207,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
         for batch in batches:
             languages, scores = predict(held, classes, table, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, name, score])
+        release_memory()
 
     schema = docs.select("*", F.lit("").alias(name), F.lit(0.0).alias(score)).schema
     return docs.mapInArrow(run, schema)

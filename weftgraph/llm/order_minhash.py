@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import MAX_HOT_GROUPS, join_groups, materialise, small_batches
+from .common import MAX_HOT_GROUPS, join_groups, materialise, release_memory, small_batches
 from .components import components
 
 WORDS = 5
@@ -149,6 +149,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(x))
             buckets.append(sketch(x))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
+    hashes.clear()
+    release_memory()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +235,8 @@ def _verified(threshold: float):
                     last, x = a, shingles(words_of(left.as_py()), hashes)
                 near.append(similarity(x, shingles(words_of(right.as_py()), hashes), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
+        hashes.clear()
+        release_memory()
 
     return run
 

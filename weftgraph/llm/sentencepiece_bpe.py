@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 SPACE = "▁"
 #: A worker keeps the first this many words it meets, and starts anew after as many misses; longer words aren't kept.
@@ -46,6 +46,7 @@ class Encoder:
                 self.ids[piece], self.scores[piece] = i, m.get_score(i)
         self.unknown, self.end = m.unk_id(), m.eos_id()
         self.crossing = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
+        self.breaks = not any("\n" in piece for piece in self.ids)
         self.words: dict[str, bytes] = {}
         self.misses = 0
         self.decimals = [str(i) for i in range(m.vocab_size())]
@@ -87,25 +88,33 @@ class Encoder:
                 out.append(self.unknown)
         return out
 
-    def word(self, word: str) -> bytes:
-        """Ids of one word as 32-bit integers."""
-        found = np.array(self.merge(word), np.int32).tobytes()
+    def word(self, key: str) -> bytes:
+        """Ids of one word as 32-bit integers; a key is a word without its meta space, or begins with a line break."""
+        found = np.array(self.merge(key if key.startswith("\n") and self.breaks else SPACE + key), np.int32).tobytes()
         self.misses += 1
         if self.misses > MAX_MISSES:
             self.words.clear()
             self.misses = 0
-        if len(self.words) < MAX_WORDS_KEPT and len(word) <= MAX_WORD_KEPT:
-            self.words[word] = found
+        if len(self.words) < MAX_WORDS_KEPT and len(key) <= MAX_WORD_KEPT:
+            self.words[key] = found
         return found
 
+    def keys(self, text: str) -> list[str]:
+        if self.crossing or not self.breaks or "  " in text or text[0] == " " or SPACE in text:
+            whole = SPACE + text.replace(" ", SPACE)
+            words = [whole] if self.crossing else self.split.findall(whole)
+            if not self.breaks:
+                return [w[1:] for w in words]
+            # a line break is in no piece, so it begins a word of its own
+            return [k for w in words for k in w[1:].replace("\n", " \n").split(" ")]
+        return text.replace("\n", " \n").split(" ")
+
     def encode(self, text: str) -> list[int]:
         """All ids of ``text``, with the end id."""
         if not text:
             return [self.end]
-        whole = SPACE + text.replace(" ", SPACE)
-        words = [whole] if self.crossing else self.split.findall(whole)
         kept, miss = self.words.get, self.word
-        ids = np.frombuffer(b"".join([kept(w) or miss(w) for w in words]), np.int32).tolist()
+        ids = np.frombuffer(b"".join([kept(k) or miss(k) for k in self.keys(text)]), np.int32).tolist()
         ids.append(self.end)
         return ids
 
@@ -142,6 +151,7 @@ def _run(model_path: str, with_ids: bool, check_every: int):
             if with_ids:
                 columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
+        release_memory()
 
     return run
 
