@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 BLOCK_BITS = 32_768
 #: 64 MB of bitmaps at most.
 MAX_BLOCKS = 16_384
@@ -46,14 +48,15 @@ def build(keys: DataFrame, key: str, n_blocks: int, at_least: int = 1) -> DataFr
     )
 
 
-def _bit(offset: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(offset / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+def _bit(bits: str, offset: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(offset / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (offset % 8).cast("int")))
 
 
 def probe(rows: DataFrame, key: Column, bitmaps: DataFrame, n_blocks: int, name: str = "__maybe") -> DataFrame:
     """``rows`` with boolean ``name``: false only if the key isn't in the filter. A null key is treated as a value."""
-    tagged = rows.withColumn("__block", _block(key, n_blocks))
-    found = tagged.join(F.broadcast(bitmaps), "__block", "left")
-    hit = F.col("__bits").isNotNull() & (_bit(_offset(key, 1)) != 0) & (_bit(_offset(key, 2)) != 0)
-    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__block", "__bits")
+    block, bits = free_name(rows, "__block"), free_name(rows, "__bits")
+    maps = bitmaps.select(F.col("__block").alias(block), F.col("__bits").alias(bits))
+    found = rows.withColumn(block, _block(key, n_blocks)).join(F.broadcast(maps), block, "left")
+    hit = F.col(bits).isNotNull() & (_bit(bits, _offset(key, 1)) != 0) & (_bit(bits, _offset(key, 2)) != 0)
+    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop(block, bits)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import join_groups, materialise, text_of
+from .common import free_name, join_groups, materialise, text_of
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,9 +57,10 @@ def drop_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id"
     shuffle; only possible matches meet the exact list. Rows with a null id stay.
     """
     n_blocks = bloom.blocks_for(n_ids)
-    seen = bloom.probe(docs, F.col(id_col), bloom.build(ids, id_col, n_blocks), n_blocks)
-    passed = seen.filter(~F.col("__maybe")).drop("__maybe")
-    doubtful = seen.filter("__maybe").drop("__maybe")
+    maybe = free_name(docs, "__maybe")
+    seen = bloom.probe(docs, F.col(id_col), bloom.build(ids, id_col, n_blocks), n_blocks, maybe)
+    passed = seen.filter(~F.col(maybe)).drop(maybe)
+    doubtful = seen.filter(F.col(maybe)).drop(maybe)
     return passed.unionByName(doubtful.join(ids.distinct(), id_col, "left_anti").select(passed.columns))
 
 

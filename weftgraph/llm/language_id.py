@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release_memory, small_batches
+from .common import free_name, materialise, release_memory, small_batches
 
 #: The model is fitted on at most this many labelled texts, those with the smallest hashes.
 SAMPLE = 8_000
@@ -232,6 +232,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows of no language: no letters, or no language with a share of ``least``."""
     model = fit(docs, ~held_out())
-    named = with_language(docs, model, name="__lang_pred", score="__lang_score")
-    kept = named.filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least))
-    return kept.drop("__lang_pred", "__lang_score")
+    name, score = free_name(docs, "__lang_pred"), free_name(docs, "__lang_score")
+    named = with_language(docs, model, name=name, score=score)
+    return named.filter((F.col(name) != UNDETERMINED) & (F.col(score) >= least)).drop(name, score)

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, text_of
+from .common import free_name, new_path, text_of
 
 FANOUT = 4
 TARGET_BYTES = 128 << 20
@@ -72,7 +72,8 @@ def append(docs: DataFrame, root: str, arrival: Column) -> int:
     spark = docs.sparkSession
     base, stem = version(spark, root), uuid.uuid4().hex[:12]
     folder = f"{root}/runs/{stem}"
-    docs.withColumn("weft_arrival", arrival).write.partitionBy("weft_arrival").parquet(folder)
+    name = free_name(docs, "weft_arrival")
+    docs.withColumn(name, arrival).write.partitionBy(name).parquet(folder)
     at, fs = _path(spark, folder)
     names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
     fresh = _measured(spark, root, [f"{stem}/{n}" for n in names], docs.schema)
