@@ -14,7 +14,7 @@ from weftgraph.llm.common import documents, materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter or without a language that has at least half of the text."""
+    """Drops texts without a letter or without a language that has at least two fifths of the text."""
     return language_id.reject(docs)
 
 

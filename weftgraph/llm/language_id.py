@@ -229,7 +229,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return with_language(narrow, model).drop("text")
 
 
-def reject(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def reject(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without the rows of no language: no letters, or no language with a share of ``least``."""
     model = fit(docs, ~held_out())
     name, score = free_name(docs, "__lang_pred"), free_name(docs, "__lang_score")
