@@ -28,3 +28,8 @@ class Config:
     delete_days: int = 365
     paths_cap: int = 100
     protected_kinds: tuple[str, ...] = ("schema", "config", "system")
+    stemming: bool = True
+    graph_signal: bool = False
+    sentence_nodes: bool = True
+    ceiling_mb: int = 256
+    reader_timeout_s: float = 30.0

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem
 from ..storage import materialise
 
 DAY_MS = 86_400_000
@@ -97,17 +99,38 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(w.lower() for w in words))
 
 
-def bm25(docs: DataFrame, text: str, ident: str = "doc_id", body: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _stem_counts(stems: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[stem(w) for w in words] for words in batch.column(2).to_pylist()]
+            counts = [pa.array([float(words.count(s)) for words in found], pa.float64()) for s in stems]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=["id", "dl", *(f"tf{i}" for i in range(len(stems)))])
+
+    return run
+
+
+def bm25(docs: DataFrame, text: str, ident: str = "doc_id", body: str = "text", k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
     """``id, _bm25_score`` of the documents with a term of the query; negative, smaller is better.
 
     The idf is ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Lengths and frequencies come from two scans
-    without a shuffle of texts; the statistics are one row.
+    without a shuffle of texts; the statistics are one row. If ``stemmed``, words meet by their stems, and only words
+    that begin like one of the query's stems leave the JVM.
     """
     terms = query_terms(text)
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(body), F.lit(""))), F.lit(TOKEN), F.lit(0))
     count = lambda w: F.size(F.filter("words", lambda x: x == w)).cast("double")
     counted = docs.select(F.col(ident).alias("id"), words.alias("words"))
-    counted = counted.select("id", F.size("words").cast("double").alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    if stemmed and terms:
+        terms = list(dict.fromkeys(map(stem, terms)))
+        # a stem differs from its words' beginning by its last letter at most
+        heads = sorted({t[:-1] or t for t in terms})
+        like = lambda x: reduce(lambda a, c: a | c, [x.startswith(h) for h in heads])
+        kind = docs.schema[ident].dataType.simpleString()
+        schema = f"id {kind}, dl double" + "".join(f", tf{i} double" for i in range(len(terms)))
+        slim = counted.select("id", F.size("words").cast("double").alias("dl"), F.filter("words", like).alias("words"))
+        counted = slim.mapInArrow(_stem_counts(terms), schema)
+    else:
+        counted = counted.select("id", F.size("words").cast("double").alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     one = stats.first()
     score = F.lit(0.0)

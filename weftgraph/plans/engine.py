@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
@@ -11,52 +13,107 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, alive, public, visible_edges, visible_nodes
 from ..config import Config
 from ..errors import BatchRollback, EmbedderRequired, NodeNotFound, QueryError, VectorNotFound
-from ..functions.text import auto_id
+from ..functions.text import auto_id, split_sentences
 from ..operators import graph as G
 from ..operators import maintenance as M
 from ..operators import predicates as P
 from ..operators import retrieval as R
 from ..operators import writes as W
 from ..storage import materialise
+from .admin import AdminStatements
+from .memory import MemoryStatements
 from .parser import Statement, parse
+from .vault import VaultStatements
 
 
-class Engine:
+class Engine(MemoryStatements, AdminStatements, VaultStatements):
     """``execute`` takes one statement, or several between BEGIN and COMMIT of which all or none take effect.
 
-    ``embed`` maps a text to a vector, for SIMILAR TO a text. ``log`` holds the writes with the time and session they ran
-    under, so ``replay`` gives the same tables.
+    ``embed`` maps a text to a vector, ``rerank`` a question and texts to scores, ``readers`` a name to a callable for ANSWER;
+    ``vault`` is a folder of notes and ``folder`` that of checkpoints. ``log`` holds the writes with the time and session
+    they ran under, so ``replay`` gives the same tables; ``trace`` marks what runs in the query log.
     """
 
-    def __init__(self, catalog: Catalog, config: Config | None = None, embed=None) -> None:
+    def __init__(
+        self, catalog: Catalog, config: Config | None = None, embed: Callable | None = None, rerank: Callable | None = None,
+        readers: dict[str, Callable] | None = None, vault: str | None = None, folder: str | None = None,
+    ) -> None:
         self.catalog, self.config, self.embed = catalog, config or Config(), embed
+        self.rerank, self.readers, self.vault, self.folder = rerank, dict(readers or {}), vault, folder
         self.snapshots: dict[str, Catalog] = {}
         self.log: list[tuple[str, Any]] = []
-        self._since = 0
+        self.trace: str | None = None
+        self._since = self._saved = self._depth = 0
+        self._base, self._begun = catalog, {}
+        self._start_admin()
 
     def execute(self, text: str) -> DataFrame | None:
         lines = [x.strip() for x in text.strip().splitlines() if x.strip()]
         if lines and lines[0] == "BEGIN":
-            if lines[-1] != "COMMIT":
-                raise QueryError("COMMIT expected")
-            before, logged, out = self.catalog, len(self.log), None
-            try:
-                for line in lines[1:-1]:
-                    out = self.execute(line)
-            except Exception as e:
-                self.catalog = before
-                del self.log[logged:]
-                raise BatchRollback(str(e)) from e
-            return out
-        session = self.catalog.session
-        statement = parse(text, session.now_ms)
-        before = self.catalog
-        out = getattr(self, f"_{statement.verb}")(**statement.args)
-        if self.catalog is not before:
+            return self._batch(lines)
+        began, verb, before = time.perf_counter(), "", self.catalog
+        try:
+            statement = parse(text, self._now())
+            verb = statement.verb
+            out = self._carry_out(text, statement)
+        except Exception as e:
+            self._note(text, verb, (time.perf_counter() - began) * 1000, False, e)
+            raise
+        self._note(text, verb, (time.perf_counter() - began) * 1000, self.catalog is not before)
+        return out
+
+    def _carry_out(self, text: str, statement: Statement) -> DataFrame | None:
+        session, before = self.catalog.session, self.catalog
+        self._depth += 1
+        try:
+            out = getattr(self, f"_{statement.verb}")(**statement.args)
+        finally:
+            self._depth -= 1
+        # a statement that another one runs is part of that one's entry
+        if self.catalog is not before and not self._depth and not statement.verb.startswith("sys_wal"):
             self.log.append((text, session))
             self._cut()
         return out
 
+    def _nested(self, text: str) -> DataFrame | None:
+        return self._carry_out(text, parse(text, self._now()))
+
+    def _batch(self, lines: list[str]) -> DataFrame | None:
+        """``$name = CREATE NODE ...`` names a node that later lines may use as an end of an edge."""
+        if lines[-1] != "COMMIT":
+            raise QueryError("COMMIT expected")
+        before, logged, out = self.catalog, len(self.log), None
+        names: dict[str, str] = {}
+        try:
+            for line in lines[1:-1]:
+                name, _, rest = line.partition("=")
+                bound = name.strip() if line.startswith("$") else None
+                statement = parse(rest if bound else line, self._now())
+                for end in ("src", "dst"):
+                    if str(statement.args.get(end, "")).startswith("$"):
+                        if statement.args[end] not in names:
+                            raise QueryError(f"{statement.args[end]} isn't bound")
+                        statement.args[end] = names[statement.args[end]]
+                self._depth += 1
+                try:
+                    made = getattr(self, f"_{statement.verb}")(**statement.args)
+                finally:
+                    self._depth -= 1
+                if bound:
+                    if statement.verb not in ("create", "upsert"):
+                        raise QueryError(f"{bound} can only name a node that is made")
+                    names[bound] = self._made
+                else:
+                    out = made
+        except Exception as e:
+            self.catalog = before
+            del self.log[logged:]
+            raise BatchRollback(str(e)) from e
+        if self.catalog is not before:
+            self.log.append(("\n".join(lines), before.session))
+            self._cut()
+        return out
+
     def replay(self, log: list[tuple[str, Any]]) -> None:
         for text, session in log:
             self.catalog = replace(self.catalog, session=session)
@@ -82,6 +139,11 @@ class Engine:
             if isinstance(leaf, P.Degree) and P.degree_column(leaf) not in nodes.columns:
                 found = G.degrees(self.catalog.edges, leaf.incoming, leaf.kind).withColumnRenamed("degree", P.degree_column(leaf))
                 nodes = nodes.join(found, "id", "left")
+        texts = {leaf.text for leaf in P.leaves(rule) if isinstance(leaf, P.Similar)} if rule is not None else set()
+        if len(texts) > 1:
+            raise QueryError("one SIMILAR text a statement")
+        for text in texts:
+            nodes = nodes.join(self._similar_scores(text), "id", "left")
         return nodes.filter(P.compile_rule(nodes, rule))
 
     def _node(self, id: str, document: bool) -> DataFrame:
@@ -195,7 +257,7 @@ class Engine:
     def _lexical(self, text, limit, rule) -> DataFrame:
         if self.catalog.documents is None:
             raise QueryError("the catalog has no documents")
-        found = R.bm25(self.catalog.documents, text, "id", "text")
+        found = R.bm25(self.catalog.documents, text, "id", "text", stemmed=self.config.stemming)
         return public(self._where(rule).join(found, "id").orderBy("_bm25_score", "id").limit(limit))
 
     def _what_if(self, id) -> DataFrame:
@@ -218,20 +280,53 @@ class Engine:
 
     def _create(self, id, fields, vector, document) -> None:
         kind, fields = self._bound(fields)
+        self.kinds.check_node(kind, fields)
         spark = self.catalog.nodes.sparkSession
         if id is None:
             parts = {k: F.lit(v) for k, v in fields.items() if not k.startswith("__")}
             id = spark.range(1).select(auto_id(kind, **parts)).first()[0]
+        self._made = id
+        told = self.kinds.nodes.get(kind, {}).get("embed")
+        text = document if document is not None else fields.get(told) if told else None
+        if vector is None and text is not None and self.embed is not None:
+            vector = [float(x) for x in self.embed(str(text))]
         self._put(W.create(self.catalog.nodes, id, kind, fields, self._now()))
         for name, value, column in (("vectors", vector, "embedding array<double>"), ("documents", document, "text string")):
             if value is not None:
                 row = spark.createDataFrame([(id, value)], f"id string, {column}")
                 held = getattr(self.catalog, name)
                 self.catalog = self.catalog.with_tables(**{name: row if held is None else held.unionByName(row, allowMissingColumns=True)})
+        self._sentences(id, kind, fields)
+
+    def _sentences(self, id: str, kind: str, fields: dict[str, Any]) -> None:
+        """A node for each sentence of the embed field, or of ``content``, with an edge from its own node."""
+        text = fields.get(self.kinds.nodes.get(kind, {}).get("embed") or "content")
+        if not self.config.sentence_nodes or kind in ("sentence", "entity") or not isinstance(text, str):
+            return
+        found = [(f"{id}:s{i}", s) for i, s in enumerate(split_sentences(text))]
+        if not found:
+            return
+        spark, now = self.catalog.nodes.sparkSession, F.lit(self._now())
+        more = {k: v for k, v in fields.items() if k in ("__event_at__", "__context__", "__namespace__")}
+        rows = spark.createDataFrame(found, "id string, text string").withColumns(
+            {"kind": F.lit("sentence"), "parent_node": F.lit(id), "__blob_state__": F.lit("warm"), "__created_at__": now, "__updated_at__": now, **{k: F.lit(v) for k, v in more.items()}}
+        )
+        self._put(W.widened(self.catalog.nodes, rows))
+        self._link(rows.select(F.lit(id).alias("src"), F.col("id").alias("dst"), F.lit("has_sentence").alias("kind"), F.lit(1.0).alias("weight")))
+        if self.embed is not None:
+            held = self.catalog.vectors
+            fresh = spark.createDataFrame([(i, [float(x) for x in self.embed(s)]) for i, s in found], "id string, embedding array<double>")
+            self.catalog = self.catalog.with_tables(vectors=fresh if held is None else held.unionByName(fresh, allowMissingColumns=True))
 
     def _upsert(self, id, fields, vector, document) -> None:
         kind, fields = self._bound(fields)
+        self.kinds.check_node(kind, fields)
+        self._made = id
         self._put(W.upsert(self.catalog.nodes, id, kind, fields, self._now()))
+        if vector is not None:
+            held, spark = self.catalog.vectors, self.catalog.nodes.sparkSession
+            row = spark.createDataFrame([(id, vector)], "id string, embedding array<double>")
+            self.catalog = self.catalog.with_tables(vectors=row if held is None else held.filter(F.col("id") != id).unionByName(row, allowMissingColumns=True))
 
     def _update(self, id, fields) -> None:
         self._known(id)
@@ -262,8 +357,26 @@ class Engine:
 
     def _create_edge(self, src, dst, fields) -> None:
         fields = dict(fields)
+        if fields.get("kind", "default") in self.kinds.edges:
+            of = {r.id: r.kind for r in self.catalog.nodes.filter(F.col("id").isin(src, dst)).select("id", "kind").limit(2).collect()}
+            self.kinds.check_edge(fields["kind"], of.get(src), of.get(dst))
         self.catalog = W.create_edge(self.catalog, src, dst, fields.pop("kind", "default"), fields.pop("weight", 1.0), fields)
 
+    def _update_edge(self, src, dst, fields, kind) -> None:
+        """Set weight and data of the edges between two nodes, of one kind if it is named."""
+        edges, fields = self.catalog.edges, dict(fields)
+        hit = (F.col("src") == src) & (F.col("dst") == dst)
+        hit = hit if kind is None else hit & (F.col("kind") == kind)
+        if "weight" in fields:
+            edges = edges.withColumn("weight", F.when(hit, F.lit(float(fields.pop("weight")))).otherwise(F.col("weight")))
+        if fields:
+            if "data" not in edges.columns:
+                edges = edges.withColumn("data", F.lit(None).cast("map<string,string>"))
+            more = F.create_map(*[F.lit(x) for k, v in fields.items() for x in (k, None if v is None else str(v))]).cast("map<string,string>")
+            held = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(list(fields)))
+            edges = edges.withColumn("data", F.when(hit, F.map_concat(held, more)).otherwise(F.col("data")))
+        self.catalog = self.catalog.with_tables(edges=edges)
+
     def _delete_edges(self, ends, kind) -> None:
         rule = F.lit(True)
         for c, v in ends.items():
@@ -272,6 +385,7 @@ class Engine:
 
     def _assert(self, id, fields, confidence, source) -> None:
         kind, fields = self._bound(fields)
+        self.kinds.check_node(kind, fields)
         self._put(W.assert_node(self.catalog.nodes, id, kind, fields, self._now(), confidence, source))
 
     def _retract(self, id, reason) -> None:
@@ -303,9 +417,6 @@ class Engine:
 
     # system statements
 
-    def _sys_stats(self) -> DataFrame:
-        return M.stats(self.nodes, visible_edges(self.catalog))
-
     def _sys_health(self) -> DataFrame:
         return M.health(self.catalog.nodes, self.catalog.edges)
 
@@ -319,7 +430,9 @@ class Engine:
 
     def _sys_evict(self, limit) -> None:
         if "__updated_at__" in self.catalog.nodes.columns:
-            self.catalog = W.delete_nodes(self.catalog, M.eviction_order(self.catalog.nodes, limit, self.config.protected_kinds))
+            gone = materialise(M.eviction_order(self.catalog.nodes, limit, tuple(self.config.protected_kinds)), "evicted")
+            self.evicted += gone.count()
+            self.catalog = W.delete_nodes(self.catalog, gone)
 
     def _sys_contradictions(self, rule, field, by) -> DataFrame:
         return M.contradictions(self._where(rule), field, by)
@@ -333,10 +446,7 @@ class Engine:
         return R.duplicates(self._vectors_where(rule), threshold)
 
     def _sys_connect(self, rule, threshold) -> None:
-        found = R.connect(self._vectors_where(rule), threshold).select("src", "dst", F.lit("similar_to").alias("kind"), "weight")
-        edges = self.catalog.edges
-        fresh = found.join(edges.select("src", "dst", "kind"), ["src", "dst", "kind"], "left_anti")
-        self.catalog = self.catalog.with_tables(edges=edges.unionByName(fresh, allowMissingColumns=True))
+        self._link(R.connect(self._vectors_where(rule), threshold).select("src", "dst", F.lit("similar_to").alias("kind"), "weight"))
 
     def _sys_snapshot(self, name) -> None:
         self.snapshots[name] = self.catalog
@@ -350,6 +460,12 @@ class Engine:
         return self.catalog.nodes.sparkSession.createDataFrame([(n,) for n in sorted(self.snapshots)], "name string")
 
     def _sys_explain(self, statement: Statement) -> DataFrame:
+        if statement.verb in ("remember", "answer"):
+            return public(self._fused(**{k: v for k, v in statement.args.items() if k != "using"}))
+        before = self.catalog
         out = getattr(self, f"_{statement.verb}")(**statement.args)
+        if self.catalog is not before or out is None:
+            self.catalog = before
+            raise QueryError("SYS EXPLAIN takes a statement that reads")
         plan = out._jdf.queryExecution().toString()
         return self.catalog.nodes.sparkSession.createDataFrame([(plan,)], "plan string")
