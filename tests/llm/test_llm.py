@@ -114,6 +114,32 @@ def test_crowded_buckets_lose_nothing(spark):
     assert {r.doc_id: r.class_id for r in found} == dict(enumerate(label))
 
 
+def test_rim_of_a_family_stays_with_it(spark):
+    """Of each two further texts the second is close to its parent, not to the base, and the parent is close to the leader of the family."""
+    rng = random.Random(5)
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    base = [f"w{i}" for i in range(120)]
+    texts = [base]
+    for _ in range(150):
+        texts.append(edited(base, 1))
+        texts.append(edited(texts[-1], 2))
+    hashes = order_minhash._Hashes()
+    sets = [order_minhash.shingles(w, hashes) for w in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if label[a] != label[b] and order_minhash.similarity(sets[a], sets[b]) >= 0.8:
+            x, y = sorted((label[a], label[b]))
+            label = [x if v == y else v for v in label]
+    found = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(label))
+
+
 def test_sentencepiece_and_media(docs):
     import sentencepiece
 

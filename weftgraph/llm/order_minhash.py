@@ -33,8 +33,10 @@ THRESHOLD = 0.8
 SKETCHES = 24
 PICKS = 4
 #: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
-#: a passage, say) are dealt anew by their rarest shingles, which misses no pair.
+#: a passage, say) are dealt anew by their rarest shingles, which misses no pair of these texts.
 CROWD = 16
+#: Leaders a bucket in one round of ``_mended``: CROWD at first, four times as many in each round, up to this.
+MOST_LEADERS = 256
 #: Counters (64 blocks of 65,536) that estimate how often a shingle occurs in crowded buckets.
 CELLS = 1 << 22
 BLOCK = 1 << 16
@@ -256,8 +258,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) ->
     return both.mapInArrow(_verified(threshold), "a long, b long, similarity double")
 
 
-def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links among ``rows`` (bucket, doc, n, at, rank, lead).
+def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links among ``rows`` (bucket, doc, n, at, rank, lead), and the pairs that were tested (a < b in both).
 
     Every bucket elects as leader the text of the highest rank (the one that shares most
     buckets with others); the rest are aligned with it, unless their lengths, or their places
@@ -265,8 +267,9 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     leader go on to the next round with more leaders a bucket, until no text can lead.
     After the first round the texts of crowded buckets are dealt anew by ``_rarest``, which
     ranks the shortest first; there a text that may only follow isn't compared with a lower rank.
+    A text close to a leader isn't compared with the rest of the bucket here; see ``_mended``.
     """
-    found, leaders, rounds = [], 1, 0
+    found, tried, leaders, rounds = [], [], 1, 0
     while (total := rows.count()) and rows.filter("lead").limit(1).count():
         standing = F.struct("rank", (-F.col("doc")).alias("minus"))
         part = F.pmod(F.xxhash64("doc"), F.lit(leaders))
@@ -288,6 +291,7 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         tested = verify(pairs, texts, threshold, pairs.count()).filter(F.col("similarity") >= threshold)
         ok = materialise(tested.select("a", "b"), "ok")
         found.append(ok)
+        tried.append(pairs)
         gone = met.join(ok, ["a", "b"]).select("bucket", F.col("b").alias("doc")).unionByName(chosen.select("bucket", (-F.col("head.minus")).alias("doc")))
         left = materialise(rows.join(gone, ["bucket", "doc"], "left_anti"), "left")
         if not rounds:
@@ -299,8 +303,68 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         rows = left
         rounds += 1
         leaders = leaders if rounds == 1 else leaders * 8
-    links = reduce(DataFrame.unionByName, found) if found else rows.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    none = rows.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    return _ordered(reduce(DataFrame.unionByName, found, none)), _ordered(reduce(DataFrame.unionByName, tried, none))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _split(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket, doc, n, at, lead, label, size, main, others`` of the rows whose bucket has texts of several classes.
+
+    ``main`` is the class with most texts in the bucket, and ``others`` counts the texts outside it.
+    """
+    labels = components(links).withColumnRenamed("node", "doc")
+    named = rows.select("bucket", "doc", "n", "at", "lead").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    named = materialise(named, "named")
+    classes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("top"))
+    groups = groups.filter("size > top.n").select("bucket", "size", (-F.col("top.minus")).alias("main"), (F.col("size") - F.col("top.n")).alias("others"))
+    return materialise(join_groups(named, materialise(groups, "groups"), "bucket", "size", named.count()), "split")
+
+
+def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``links`` and those between texts of one bucket that are still in different classes.
+
+    In a bucket of several classes, every text outside the largest is compared with all texts
+    of other classes, unless the pair was tested before or lengths or places rule it out. So no two classes
+    stay apart that a pair of a bucket links. Buckets with more than ``CROWD`` such texts are dealt anew by ``_rarest``,
+    the linked texts with them, and led by some of these texts a round; classes are named anew after each.
+    """
+    leaders, rounds = CROWD, 0
+    links, tested = materialise(links, "links"), materialise(tested, "tested")
+    while True:
+        split = _split(rows, links)
+        if rounds == 1:
+            crowd = materialise(split.filter(F.col("others") > CROWD).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
+            if n_crowd := crowd.count():
+                fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold, n_crowd * SKETCHES)
+                calm = split.filter(F.col("others") <= CROWD)
+                split = _split(materialise(calm.select("bucket", "doc", "n", "at", "lead").unionByName(fine.select("bucket", "doc", "n", "at", "lead")), "rows"), links)
+        total = split.count()
+        if not total:
+            return links
+        led = split.filter("label != main")
+        led = led.filter(F.col("others") <= CROWD) if not rounds else led
+        part = F.when(F.col("others") <= leaders, F.col("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(leaders)))
+        heads = led.groupBy("bucket", part.alias("part")).agg(F.first("size").alias("size"), F.max(F.struct("doc", "n", "at", "lead", "label")).alias("head"))
+        heads = materialise(heads.select("bucket", "size", "head"), "heads")
+        met = join_groups(split.drop("size"), heads, "bucket", "size", total).filter(F.col("label") != F.col("head.label"))
+        least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("head.n")) - 1e-9)
+        met = met.filter((least <= F.col("n") - F.col("at")) & (least <= F.col("head.n") - F.col("head.at")))
+        met = met.filter((F.col("head.lead") & (F.col("head.n") <= F.col("n"))) | (F.col("lead") & (F.col("n") <= F.col("head.n"))))
+        met = met.select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.least("head.doc", "doc").alias("lo"), F.greatest("head.doc", "doc").alias("hi"))
+        known = tested.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+        pairs = materialise(met.dropDuplicates(["lo", "hi"]).join(known, ["lo", "hi"], "left_anti").select("a", "b"), "pairs")
+        if n_pairs := pairs.count():
+            ok = verify(pairs, texts, threshold, n_pairs).filter(F.col("similarity") >= threshold).select("a", "b")
+            links = materialise(links.unionByName(_ordered(ok)), "links")
+            tested = tested.unionByName(_ordered(pairs))
+        rows = split.join(heads.select("bucket", F.col("head.doc").alias("doc")), ["bucket", "doc"], "left_anti")
+        leaders = min(MOST_LEADERS, leaders * 4) if rounds else leaders
+        rounds += 1
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -328,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_blocks = bloom.blocks_for(ids.count())
     maybe = bloom.probe(given, F.col("doc_id"), bloom.build(ids, "doc_id", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
     texts = materialise(maybe.join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    links = materialise(_links(rows, texts, threshold), "links")
+    links = _mended(rows, *_links(rows, texts, threshold), texts, threshold)
 
     ends = links.select(F.col("a").alias("rep")).union(links.select("b"))
     degrees = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
