@@ -140,6 +140,19 @@ def test_rim_of_a_family_stays_with_it(spark):
     assert {r.doc_id: r.class_id for r in found} == dict(enumerate(label))
 
 
+def test_long_and_escaped_literals():
+    long = "Ab3$" * 2500
+    for text, literal in [
+        (f'client_credential = "{long}"', long),
+        (f"client_credential = {long}", long),
+        (r'db_pwd = "Xy9$kLm\\2Qw8z"', r"Xy9$kLm\\2Qw8z"),
+        (r"""'signing' : 'q\'7Zk"x_9Lm2'""", r"""q\'7Zk"x_9Lm2"""),
+        (r'line = "a\\b db_pwd=Xy9$kLm2Qw8z"', "Xy9$kLm2Qw8z"),
+    ]:
+        at = text.index(literal)
+        assert ("literal", at, at + len(literal)) in secrets.scan(text)
+
+
 def test_sentencepiece_and_media(docs):
     import sentencepiece
 

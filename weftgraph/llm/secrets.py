@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "literal")
 _TARGET = re.compile(r"(?ai)pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private_?key|auth|credential|signing|encryption_?key")
 _PAIR = re.compile(
     r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=quote)[\x20\t]*(?::=|=>|[:=])[\x20\t]*"""
-    r"""(?:"(?P<double>[^"\\\n]{1,4096})"|'(?P<single>[^'\\\n]{1,4096})'|(?P<bare>[^\s"'`,;(){}\[\]<>]{1,4096}))"""
+    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)++)"|'(?P<single>(?:[^'\\\n]|\\.)++)'|(?P<bare>[^\s"'`,;(){}\[\]<>]++))"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 #: Least score of a literal, and its least length.
@@ -52,11 +52,20 @@ def literal_score(text: str) -> float:
 
 
 def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """Name, literal, start and end of the literal, whether it was quoted; in text order."""
+    """Name, literal, start and end of the literal, whether it was quoted; in text order.
+
+    Pairs inside a quoted literal follow it. It has no unescaped quote of its own kind, so they nest twice at most.
+    """
+    return _pairs(text, 0, len(text))
+
+
+def _pairs(text: str, first: int, last: int) -> list[tuple[str, str, int, int, bool]]:
     out = []
-    for m in _PAIR.finditer(text):
+    for m in _PAIR.finditer(text, first, last):
         group = m.lastgroup
         out.append((m["name"], m[group], m.start(group), m.end(group), group != "bare"))
+        if group != "bare":
+            out += _pairs(text, m.start(group), m.end(group))
     return out
 
 
