@@ -106,6 +106,26 @@ def test_duplicates_match_brute_force(spark):
     assert found == want
 
 
+def test_equal_vectors_match_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    from weftgraph.plans.catalogue import ORACLES, QUERIES
+
+    rng = np.random.default_rng(2)
+    base = [np.eye(8)[i] for i in range(4)]
+    near = [np.round(v + 0.05 * rng.standard_normal(8), 3) for v in base]
+    vectors = [base[i] for i, n in enumerate((14, 3, 2, 1)) for _ in range(n)] + [v for v in near for _ in range(3)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("duplicates", "connect_topk"):
+        df = QUERIES[name](spark, str(tmp_path))
+        columns = sorted(df.columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(c.sql(ORACLES[name]).select(*columns).fetchall()), name
+
+
 def test_consolidate(spark):
     rows = [("e", "1", [1.0, 0.0]), ("e", "2", [0.9, 0.1]), ("e", "3", [0.0, 1.0]), ("f", "1", [1.0, 0.0])]
     out = M.consolidate(spark.createDataFrame(rows, "entity string, id string, embedding array<double>")).collect()

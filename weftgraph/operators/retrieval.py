@@ -42,16 +42,14 @@ def binary_codes(vec: Column) -> Column:
     return F.array_join(F.transform(vec, lambda x: F.when(x >= 0, "1").otherwise("0")), "")
 
 
-def near_pairs(vectors: DataFrame, threshold: float, ident: str = "id", vec: str = "embedding", seed: int = 7) -> DataFrame:
-    """``a, b, similarity`` of the pairs of at least ``threshold`` (a < b), up to a chance of about 1e-6 a pair.
+def _distinct_pairs(slim: DataFrame, threshold: float, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``v, id, n`` of the distinct vectors of ``slim`` (id, v), the id being the least, and their ``a, b, similarity`` of at least ``threshold``.
 
-    Sign random projections deal the vectors into bands; only vectors of one band are compared, exactly. Equal
-    vectors are compared once and meet through their smallest id.
+    Sign random projections deal the vectors into bands; only vectors of one band are compared, exactly.
     """
     same = 1 - np.arccos(min(1.0, threshold)) / np.pi
     bits = max(2, min(24, int(np.log(0.25) / np.log(same)))) if same < 1 else 24
     bands = int(np.ceil(np.log(1e-6) / np.log(1 - same**bits))) if same < 1 else 1
-    slim = vectors.select(F.col(ident).cast("string").alias("id"), F.col(vec).alias("v")).filter("v is not null")
     unique = materialise(slim.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "unique")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,24 +69,60 @@ def near_pairs(vectors: DataFrame, threshold: float, ident: str = "id", vec: str
     met = dealt.withColumnRenamed("id", "a").join(dealt.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b").distinct()
     left, right = unique.select(F.col("id").alias("a"), F.col("v").alias("va")), unique.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     close = met.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    return unique, close.filter(F.col("similarity") >= threshold)
+
+
+def _slim(vectors: DataFrame, ident: str, vec: str) -> DataFrame:
+    return vectors.select(F.col(ident).cast("string").alias("id"), F.col(vec).alias("v")).filter("v is not null")
+
+
+def near_pairs(vectors: DataFrame, threshold: float, ident: str = "id", vec: str = "embedding", seed: int = 7) -> DataFrame:
+    """``a, b, similarity`` of the pairs of at least ``threshold`` (a < b), up to a chance of about 1e-6 a pair.
+
+    Equal vectors are compared once and meet through their smallest id.
+    """
+    slim = _slim(vectors, ident, vec)
+    unique, close = _distinct_pairs(slim, threshold, seed)
     equal = slim.join(unique.filter("n > 1").select(F.col("id").alias("a"), "v"), "v").filter("a < id")
-    return close.filter(F.col("similarity") >= threshold).unionByName(equal.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    return close.unionByName(equal.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def nearest(vectors: DataFrame, threshold: float, top: int, ident: str = "id", vec: str = "embedding", least: bool = True) -> DataFrame:
+    """``a, b, similarity``: the ``top`` nearest others of each node, of at least ``threshold``; of equals those of the least (or else largest) id.
+
+    Distinct vectors are compared once. A node's others are among the first ``top + 1`` nodes of its own vector and
+    the best ``top`` of the first ``top`` of each near vector, so equal vectors share one short list.
+    """
+    slim = _slim(vectors, ident, vec).filter("id is not null").distinct()
+    unique, close = _distinct_pairs(slim, threshold)
+    by_id = F.col("id") if least else F.desc("id")
+    groups = unique.select("v", F.col("id").alias("g"))
+    several = slim.join(unique.filter("n > 1").select("v", F.col("id").alias("g")), "v")
+    placed = several.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy(by_id)).alias("place")).filter(F.col("place") <= top + 1)
+    lone = unique.filter("n = 1").select(F.col("id").alias("g"), "id", F.lit(1).alias("place"))
+    firsts = materialise(placed.unionByName(lone), "firsts")
+    both = close.select(F.col("a").alias("of"), F.col("b").alias("g"), "similarity").unionByName(close.select(F.col("b").alias("of"), F.col("a").alias("g"), "similarity"))
+    spread = both.join(firsts.filter(F.col("place") <= top), "g").select("of", "id", "similarity")
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("similarity"), by_id))
+    others = spread.withColumn("rank", rank).filter(F.col("rank") <= top).select("of", "id", "similarity")
+    own = firsts.join(groups, "g").select(F.col("g").alias("of"), "id", F.coalesce(cosine(F.col("v"), F.col("v")), F.lit(1.0)).alias("similarity"))
+    key = -F.col("similarity") if least else F.col("similarity")
+    lists = own.unionByName(others).groupBy("of").agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), "id", "similarity")), asc=least).alias("near"))
+    lists = materialise(groups.join(lists.withColumnRenamed("of", "g"), "g").select("v", "near"), "nearest")
+    found = slim.join(lists, "v").select(F.col("id").alias("a"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, top).alias("near"))
+    return found.select("a", F.explode("near").alias("x")).select("a", F.col("x.id").alias("b"), F.col("x.similarity").alias("similarity"))
 
 
 def duplicates(vectors: DataFrame, threshold: float = 0.95, ident: str = "id", vec: str = "embedding") -> DataFrame:
     """``a, b, similarity``: for each node its nearest other, of at least ``threshold``, as unordered pairs."""
-    pairs = near_pairs(vectors, threshold, ident, vec)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    nearest = both.groupBy("a").agg(F.max_by("b", F.struct("similarity", F.col("b"))).alias("b"), F.max("similarity").alias("similarity"))
-    return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 4).alias("similarity")).distinct()
+    pairs = nearest(vectors, threshold, 1, ident, vec, least=False)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 4).alias("similarity")).distinct()
 
 
 def connect(vectors: DataFrame, threshold: float = 0.85, top: int = 10, ident: str = "id", vec: str = "embedding") -> DataFrame:
     """``src, dst, weight``: the ``top`` nearest others of each node, of at least ``threshold``."""
-    pairs = near_pairs(vectors, threshold, ident, vec)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return both.withColumn("place", place).filter(F.col("place") <= top).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("similarity", 4).alias("weight"))
+    pairs = nearest(vectors, threshold, top, ident, vec)
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("similarity", 4).alias("weight"))
 
 
 def query_terms(text: str) -> list[str]:
