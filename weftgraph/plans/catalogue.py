@@ -489,6 +489,15 @@ def slug(spark, sf_dir):
     return docs.select("doc_id", T.slug(F.expr("substring(text, 1, 1 + cast(doc_id % 80 as int))")).alias("slug"))
 
 
+@query(
+    "slug_whole",
+    """SELECT doc_id, CASE WHEN length(s) > 40 THEN substr(s, 1, 33) || '_' || substr(sha256(text), 1, 6) ELSE s END AS slug
+       FROM (SELECT doc_id, text, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)""",
+)
+def slug_whole(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("auto_id", "SELECT c_custkey, substr(sha256('kind=customer|name=' || c_name || '|nation=' || c_nationkey), 1, 16) AS id FROM customer")
 def auto_id(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", T.auto_id("customer", name=F.col("c_name"), nation=F.col("c_nationkey")).alias("id"))
