@@ -205,15 +205,6 @@ def test_secrets():
     assert secrets.scan(None) == secrets.scan("") == secrets.scan("plain words only") == []
 
 
-def test_html():
-    page = (
-        "<title>No</title><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Head &amp; tail</h1><p><b>One<br>two.<p>Three"
-        " <!-- no --> four.</p><aside>Related things</aside></article><div class='cookie-notice'>We use cookies, as all do.</div><footer>&copy; site</footer>"
-    )
-    assert html_extract.extract(page) == "Head & tail\n\nOne two.\n\nThree four."
-    assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<script>x") == ""
-
-
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=7), st.randoms())
 def test_minimum_cut_is_the_best_labelling(scores, rng):
     ties = [(i, j, rng.random() * 3) for i in range(len(scores)) for j in range(i) if rng.random() < 0.6]

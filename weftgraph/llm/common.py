@@ -20,6 +20,9 @@ MAX_HOT_GROUPS = 10_000
 #: A group below this many rows is never hot.
 MIN_HOT_ROWS = 128
 
+#: Rows, and bytes, of an Arrow batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -78,10 +81,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return near.unionByName(far)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds of texts at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of texts at once, by rows and by bytes, alike for all operators."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
 
 
 def release_memory() -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,13 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_PLAIN = re.compile(r"[^>\"']*+")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -38,36 +33,75 @@ BREAKS = frozenset(
 )
 SPACES = frozenset("br td th wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements and roles that hold no article text; ``header`` only outside an article.
-OUTSIDE = frozenset("head nav footer aside form dialog menu button select option fieldset legend label datalist output".split())
+#: Elements whose text is up to their end tag, without markup.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements that show no text of the page: code, pictures and media, form controls, and the source of a formula beside the formula.
+SILENT = RAW - {"xmp"} | frozenset("template svg canvas object video audio select button datalist annotation annotation-xml head".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
+#: Regions beside the article; ``header`` only outside an article.
+OUTSIDE = frozenset("nav footer aside dialog menu fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status tablist".split())
+#: Regions that often are beside the article but may hold it, too.
+DOUBTFUL = frozenset("form noscript".split())
 INSIDE = frozenset("article main".split())
-#: Words of class and id names.
+#: Words of class names and ids that speak for a region beside the article, or for the article.
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation "
-    "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert warning popup modal overlay social share sharing related "
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related "
     "recommended recommendations comment comments reply replies respond disqus newsletter subscribe subscription signup login search "
-    "pagination pager footer masthead topbar toolbar widget widgets tags tagcloud copyright skip outbrain taboola".split()
+    "pagination pager footer masthead topbar toolbar widget widgets tagcloud copyright outbrain taboola".split()
 )
-GOOD_NAMES = frozenset("article content entry story post body main text".split())
-
-#: Weights of the block classifier: positive speaks for content.
-BIAS = -0.6
-W_OUTSIDE, W_BAD, W_INSIDE, W_GOOD = -9.0, -7.0, 4.0, 1.5
-W_LENGTH, W_LINKS, W_STOP, W_HEADING = 0.9, -5.0, 0.8, 0.6
-#: Weights of the smoothness edges.
-NEXT, NEAR, SIBLING = 0.3, 1.2, 0.4
+GOOD_NAMES = frozenset("article content entry story post main".split())
+#: Words of names that say how something is laid out, not what it is.
+LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box col column container content group header holder inner item items left link links list outer panel "
+    "posts right section side site text top unit wrap wrapper".split()
+)
+#: Words by which a name says that something is there, or isn't, rather than that this is it.
+ABOUT_NAMES = frozenset("has with no non not without free hide is under".split())
+
+#: Weights of the block classifier, as log-odds: positive speaks for content. All that a block's text says lies
+#: within about 3 of 0, so a region outweighs it and ties decide what neither says clearly.
+BIAS = -0.5
+W_OUTSIDE, W_NAMED, W_DOUBTFUL, W_INSIDE, W_GOOD = -5.0, -5.0, -2.0, 2.5, 1.0
+W_LENGTH, W_LINKS, W_STOP, W_HEADING = 0.9, -3.0, 0.8, 0.6
+#: Log of words at which length says neither, and at which more words say no more.
+LENGTH_EVEN, LENGTH_MOST = 1.5, 3.5
+#: A region below this isn't made content by an article inside it (a reader's comment, say).
+STRONG = -3.0
+#: Weights of the smoothness edges; blocks are never further apart than ``FAR`` steps of the DOM.
+NEXT, NEAR, SIBLING = 0.3, 1.5, 0.4
+FAR = 16
+
+
+def name_score(names: str) -> float:
+    """0 to ``W_NAMED`` for class names and ids: the worst of them counts.
+
+    A name counts by the share of its telling words that speak for a region beside the
+    article, so ``comment-list`` counts in full and ``search-algorithms`` by an eighth.
+    """
+    worst = 0.0
+    for name in names.split():
+        words = _WORDS.findall(name)
+        bad = sum(w in BAD_NAMES for w in words)
+        if bad and ABOUT_NAMES.isdisjoint(words):
+            telling = sum(w in BAD_NAMES or w not in LAYOUT_NAMES for w in words)
+            worst = min(worst, W_NAMED * (bad / telling) ** 3)
+    return worst
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "prior", "inside")
+    __slots__ = ("tag", "parent", "depth", "against", "favour", "inside", "silent")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None) -> None:
         self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
-        prior, inside = (parent.prior, parent.inside) if parent else (0.0, False)
+        if parent is None:
+            self.depth, self.against, self.favour, self.inside, self.silent = 0, 0.0, 0.0, False, False
+            return
+        self.depth, self.against, self.favour, self.inside = parent.depth + 1, parent.against, parent.favour, parent.inside
+        self.silent = parent.silent or tag in SILENT
         role = names = ""
-        hidden = False
+        against = 0.0
         if attrs and not attrs.isspace():
             for key, a, b, c in _ATTR.findall(attrs):
                 key, value = key.lower(), (a or b or c).lower()
@@ -75,21 +109,27 @@ class _Element:
                     role = value
                 elif key in ("class", "id"):
                     names += " " + value
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                    hidden = True
+                elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
+                    against = W_OUTSIDE
+                elif key == "aria-hidden" and value == "true":
+                    against = min(against, W_DOUBTFUL)
         if tag in INSIDE or role in INSIDE:
-            if not inside and prior > W_BAD:
-                prior += W_INSIDE
-            inside = True
-        if hidden or tag in OUTSIDE or role in OUTSIDE_ROLES or (tag == "header" and not inside):
-            prior += W_OUTSIDE
-        if names:
-            words = _WORDS.findall(names)
-            if tag not in ("body", "html", "main", "article") and not BAD_NAMES.isdisjoint(words):
-                prior += W_BAD
-            elif not GOOD_NAMES.isdisjoint(words):
-                prior += W_GOOD
-        self.prior, self.inside = prior, inside
+            if self.against > STRONG:
+                self.favour = W_INSIDE
+            self.inside = True
+        if tag in OUTSIDE or role in OUTSIDE_ROLES or (tag == "header" and not self.inside):
+            against = W_OUTSIDE
+        elif tag in DOUBTFUL:
+            against = min(against, W_DOUBTFUL)
+        if names and tag not in ("html", "body"):
+            named = name_score(names)
+            if named < 0:
+                against = min(against, named)
+            elif not self.favour and self.against > STRONG and not GOOD_NAMES.isdisjoint(_WORDS.findall(names)):
+                self.favour = W_GOOD
+        if against <= STRONG:
+            self.favour = 0.0
+        self.against = min(self.against, against)
 
 
 class Block:
@@ -99,10 +139,65 @@ class Block:
         self.text, self.links, self.element, self.heading = text, links, element, heading
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, name, data)`` in page order: kind is ``text``, ``open`` or ``close``; linear in the page's length.
+
+    A comment or raw element without an end goes on to the end of the page; a tag without ``>`` and
+    what is after it are dropped, as browsers do. A quote opens a value only after ``=`` and if it is closed.
+    """
+    at, end, last = 0, len(html), html.rfind(">")
+    gone = {'"': False, "'": False}
+    while at < end:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = end
+        if lt > at:
+            yield "text", "", html[at:lt]
+            at = lt
+            continue
+        after = html[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            if html.startswith("<!--", lt):
+                close = html.find("-->", lt + 2)
+                at = end if close < 0 else close + 3
+            else:
+                at = end if lt > last else html.index(">", lt) + 1
+            continue
+        name = _NAME.match(html, lt + 1 + (after == "/"))
+        if name is None:
+            yield "text", "", "<"
+            at = lt + 1
+            continue
+        if lt > last:
+            return
+        stop = name.end()
+        while True:
+            since = stop
+            stop = _PLAIN.match(html, since).end()
+            if stop >= end:
+                return
+            quote = html[stop]
+            if quote == ">":
+                break
+            close = -1
+            if not gone[quote] and html[since:stop].rstrip().endswith("="):
+                close = html.find(quote, stop + 1)
+                gone[quote] = close < 0
+            stop = stop + 1 if close < 0 else close + 1
+        tag = name[0].lower()
+        yield "close" if after == "/" else "open", tag, html[name.end() : stop]
+        at = stop + 1
+        if after != "/" and tag in RAW:
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+            stop = close.start() if close else end
+            yield "text", "", html[at:stop]
+            at = stop
+
+
 def blocks_of(html: str) -> list[Block]:
-    """Blocks of text in page order; markup is repaired as far as blocks need it."""
+    """Blocks of text in page order; markup is repaired as far as blocks need it, in time linear in the page."""
     root = _Element("html", "", None)
-    stack = [root]
+    stack, breaking, open_ = [root], [0], Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked = anchors = 0
@@ -112,22 +207,27 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                element = stack[-1]
-                while element.tag not in BREAKS and element.parent:
-                    element = element.parent
+                element = stack[breaking[-1]]
                 out.append(Block(text, min(linked, len(text)), element, element.tag in HEADINGS))
             parts.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(html):
-        if (text := m["text"]) is not None:
-            parts.append(text)
-            if anchors:
-                linked += len(text.strip())
-            continue
-        if (tag := m["tag"]) is None:
+    def cut(size: int) -> None:
+        nonlocal anchors
+        for element in stack[size:]:
+            open_[element.tag] -= 1
+            anchors -= element.tag == "a"
+        del stack[size:]
+        while breaking[-1] >= size:
+            breaking.pop()
+
+    for kind, tag, data in tokens(html):
+        if kind == "text":
+            if not stack[-1].silent:
+                parts.append(data)
+                if anchors:
+                    linked += len(data.strip())
             continue
-        tag = tag.lower()
         if tag in SPACES:
             parts.append(" ")
         breaks = tag in BREAKS
@@ -135,33 +235,34 @@ def blocks_of(html: str) -> list[Block]:
             flush()
         if tag in VOID:
             continue
-        if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    anchors -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
+        if kind == "close":
+            if open_[tag]:
+                size = len(stack) - 1
+                while stack[size].tag != tag:
+                    size -= 1
+                cut(size)
             continue
-        if breaks:
-            ends = ("p", tag) if tag in ("li", "option", "tr", "dt", "dd") else ("p",)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    anchors -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in BREAKS:
-                    break
-        if m["attrs"].endswith("/") and not breaks:
+        top = stack[breaking[-1]].tag
+        if top == "head" and tag not in IN_HEAD:
+            cut(breaking[-1])
+        elif breaks and (top == "p" or top == tag and tag in ("li", "option", "tr", "dt", "dd")):
+            cut(breaking[-1])
+        if data.endswith("/") and not breaks and tag not in RAW:
             continue
+        open_[tag] += 1
         anchors += tag == "a"
-        stack.append(_Element(tag, m["attrs"], stack[-1]))
+        if breaks:
+            breaking.append(len(stack))
+        stack.append(_Element(tag, data, stack[-1]))
     flush()
     return out
 
 
 def score(block: Block) -> float:
-    text = block.text
-    s = BIAS + block.element.prior + W_LENGTH * (math.log1p(text.count(" ") + 1) - 1.5) + W_LINKS * block.links / len(text)
+    """Log-odds that a block is content, from its own text and its region."""
+    text, element = block.text, block.element
+    s = BIAS + element.against + element.favour + W_LINKS * block.links / len(text)
+    s += W_LENGTH * (min(math.log1p(text.count(" ") + 1), LENGTH_MOST) - LENGTH_EVEN)
     if text[-1] in ".!?…\"”'»:。":
         s += W_STOP
     return s + W_HEADING if block.heading else s
@@ -169,7 +270,7 @@ def score(block: Block) -> float:
 
 def _distance(a: _Element, b: _Element) -> int:
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -306,7 +407,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null html counts as empty; null ids and urls stay null; repeated rows give repeated
-    results; an empty table gives an empty result; other columns are not read.
+    results; an empty table gives an empty result; other columns are not read. Malformed
+    markup is repaired in time linear in the page, however long it is.
     """
     small_batches(pages.sparkSession)
     kind = pages.select("page_id").schema[0].dataType.simpleString()
