@@ -73,73 +73,6 @@ def test_exact_dedup(docs):
     assert kept.columns == docs.columns
 
 
-def test_near_duplicates_match_brute_force(docs):
-    hashes = order_minhash._Hashes()
-    rows = [(i, t) for i, t in rows_of() if i is not None]
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    sets = {i: order_minhash.shingles(order_minhash.words_of(t), hashes) for i, t in rows}
-    words = {i: order_minhash.words_of(t) for i, t in rows}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        if words[a] == words[b] or (len(sets[a]) and len(sets[b]) and order_minhash.similarity(sets[a], sets[b]) >= 0.8):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    found = order_minhash.near_duplicates(docs).collect()
-    assert len(found) == len(rows_of())
-    assert all(r.class_id == (None if r.doc_id is None else root(r.doc_id)) for r in found)
-
-
-def test_crowded_buckets_lose_nothing(spark):
-    rng = random.Random(3)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-    rows = []
-    for i in range(80):
-        w = list(base)
-        for _ in range(i % 7):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
-        rows.append((i, " ".join(w)))
-    hashes = order_minhash._Hashes()
-    sets = [order_minhash.shingles(t.split(), hashes) for _, t in rows]
-    label = list(range(80))
-    for a, b in itertools.combinations(range(80), 2):
-        if order_minhash.similarity(sets[a], sets[b]) >= 0.8:
-            x, y = sorted((label[a], label[b]))
-            label = [x if v == y else v for v in label]
-    found = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(label))
-
-
-def test_rim_of_a_family_stays_with_it(spark):
-    """Of each two further texts the second is close to its parent, not to the base, and the parent is close to the leader of the family."""
-    rng = random.Random(5)
-
-    def edited(words, n):
-        out = list(words)
-        for at in rng.sample(range(len(out)), n):
-            out[at] = f"x{rng.randrange(10**9)}"
-        return out
-
-    base = [f"w{i}" for i in range(120)]
-    texts = [base]
-    for _ in range(150):
-        texts.append(edited(base, 1))
-        texts.append(edited(texts[-1], 2))
-    hashes = order_minhash._Hashes()
-    sets = [order_minhash.shingles(w, hashes) for w in texts]
-    label = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if label[a] != label[b] and order_minhash.similarity(sets[a], sets[b]) >= 0.8:
-            x, y = sorted((label[a], label[b]))
-            label = [x if v == y else v for v in label]
-    found = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(label))
-
-
 def test_long_and_escaped_literals():
     long = "Ab3$" * 2500
     for text, literal in [

@@ -3,10 +3,11 @@
 A text is its lower-cased words between white space; its shingles are runs of five
 words, each labelled with its occurrence number. A sketch takes the ``PICKS`` shingles
 with the smallest hashes and keeps them in text order, so two texts share it only if they
-share these shingles in the same order. Texts that share a sketch are candidates.
-Candidates are verified by a banded alignment of their shingle sequences: the longest
-common subsequence inside the diagonal band that any passing alignment must stay in.
-The similarity is aligned / (shingles of a + shingles of b - aligned).
+share these shingles in the same order: the more alike in edits, the likelier.
+Texts that share a sketch are candidates. Candidates are verified by a banded alignment of
+their words: shingles that both texts have, no further off the diagonal than any passing
+alignment goes, are anchors, and the words between anchors are aligned exactly. The
+similarity is aligned words / words of the longer text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,22 @@ from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Sketches for each text, and shingles in each: at similarity 0.8 a sketch is shared
-#: with probability 0.8 ** 4, at least one of 24 with probability 0.99999.
-SKETCHES = 24
-PICKS = 4
+#: Sketches for each text, and shingles in each. Of two texts that share a part j of their shingles (shared / all), a sketch
+#: is shared with probability j ** 2, at least one of 32 with 0.98 at j = 0.35 (about one word in eight edited) and 0.9999 at 0.5.
+SKETCHES = 32
+PICKS = 2
+#: Where candidates come from prefixes, no pair of ``THRESHOLD`` is missed whose part of shared shingles is at least this.
+SHARED = 0.35
 #: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
-#: a passage, say) are dealt anew by their rarest shingles, which misses no pair of these texts.
+#: a passage, say) are dealt anew by their rarest shingles, which misses no pair of these texts that shares ``SHARED``.
 CROWD = 16
 #: Leaders a bucket in one round of ``_mended``: CROWD at first, four times as many in each round, up to this.
 MOST_LEADERS = 256
 #: Counters (64 blocks of 65,536) that estimate how often a shingle occurs in crowded buckets.
 CELLS = 1 << 22
 BLOCK = 1 << 16
-#: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair.
+ARITY = 64
+#: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair that shares ``SHARED``.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
 MAX_WORDS_KEPT = 250_000
@@ -67,11 +72,14 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def shingles(words: list[str], hashes: dict[str, int]) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles in text order; a text below five words has one."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def coded(words: list[str], hashes: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of coded words in text order; a text below five words has one."""
+    if not len(w):
+        return w
     size = min(WORDS, len(w))
     x = w[: len(w) - size + 1].copy()
     for i in range(1, size):
@@ -105,122 +113,191 @@ def sketch(x: np.ndarray) -> list[int]:
     for i in range(spots.shape[1]):
         key = _mix(key * _P + x[spots[:, i]])
     if len(x) <= SHORT:
-        prefix = np.sort(x)[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-9)) + 1]
+        prefix = np.sort(x)[: len(x) - int(np.ceil(SHARED * len(x) - 1e-9)) + 1]
         key = np.concatenate([key, _mix(prefix + np.uint64(77))])
     return np.unique(key.view(np.int64)).tolist()
 
 
-def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned shingle similarity; 0.0 as soon as ``threshold`` is out of reach."""
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    total = len(x) + len(y)
-    least = threshold / (1 + threshold) * total - 1e-9
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if len(i) < least:
-        return 0.0
-    band = total - 2 * least
-    inside = np.abs(i - j) <= band
-    order = np.argsort(i[inside])
-    tails: list[int] = []
-    last = -1
-    for q in j[inside][order].tolist():
-        if q > last:
+def _lcs(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, by bits."""
+    spots: dict[int, int] = {}
+    for i, word in enumerate(a):
+        spots[word] = spots.get(word, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for word in b:
+        if hit := row & spots.get(word, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that both texts have, each as often as in the text that has it less."""
+    both = np.sort(np.concatenate([np.unique(a), np.unique(b)]))
+    both = both[:-1][both[1:] == both[:-1]]
+    count = lambda x: np.bincount(at := np.searchsorted(both, x), (both[np.minimum(at, len(both) - 1)] == x), minlength=len(both) + 1)
+    return int(np.minimum(count(a), count(b))[:-1].sum()) if len(both) else 0
+
+
+def _chain(spots: list[int]) -> list[int]:
+    """Places of a longest increasing subsequence."""
+    tails, ends, before = [], [], []
+    for k, q in enumerate(spots):
+        at = bisect_left(tails, q)
+        before.append(ends[at - 1] if at else -1)
+        if at == len(tails):
             tails.append(q)
-            last = q
+            ends.append(k)
         else:
-            tails[bisect_left(tails, q)] = q
-            last = tails[-1]
-    if len(tails) < least:
-        return 0.0
-    return len(tails) / (total - len(tails))
+            tails[at], ends[at] = q, k
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
 
 
-_SKETCHED = "doc_id long, key binary, shingles long, buckets array<long>"
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Aligned words of two coded texts over the words of the longer; 0.0 as soon as ``threshold`` is out of reach.
+
+    Symmetric. Two texts without words have 1.0.
+    """
+    if (len(b), b.tobytes()) < (len(a), a.tobytes()):
+        a, b = b, a
+    if not len(a):
+        return float(not len(b))
+    least = int(np.ceil(threshold * len(b) - 1e-9))
+    if len(a) < least or _common(a, b) < least:
+        return 0.0
+    _, i, j = np.intersect1d(shingles(a), shingles(b), assume_unique=True, return_indices=True)
+    inside = np.abs(i - j) <= len(a) + len(b) - 2 * least
+    order = np.argsort(i[inside])
+    i, j = i[inside][order], j[inside][order]
+    if (j[1:] < j[:-1]).any():
+        chain = _chain(j.tolist())
+        i, j = i[chain], j[chain]
+    # an anchor is the first word of a shared shingle; gaps lie before, between and after anchors
+    i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
+    wide, high = np.diff(i) - 1, np.diff(j) - 1
+    gaps = np.flatnonzero(np.minimum(wide, high))
+    reach = len(i) - 2 + int(np.minimum(wide, high)[gaps].sum())
+    for g in gaps.tolist():
+        if reach < least:
+            return 0.0
+        left, right = a[i[g] + 1 : i[g + 1]].tolist(), b[j[g] + 1 : j[g + 1]].tolist()
+        most, same = min(len(left), len(right)), 0
+        while same < most and left[same] == right[same]:
+            same += 1
+        reach += same + _lcs(left[same:], right[same:]) - most
+    return reach / len(b) if reach >= least else 0.0
+
+
+_SKETCHED = "doc_id long, key binary, words long, buckets array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("shingles", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("words", pa.int64()), ("buckets", pa.list_(pa.int64()))])
     for batch in batches:
         keys, sizes, buckets = [], [], []
         for text in batch.column(1):
             words = words_of(text.as_py())
-            x = shingles(words, hashes)
             keys.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            sizes.append(len(x))
-            buckets.append(sketch(x))
+            sizes.append(len(words))
+            buckets.append(sketch(shingles(coded(words, hashes))))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
     hashes.clear()
     release_memory()
 
 
+def _cells(texts: pa.Array, hashes: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Words, shingles and their counters of each text."""
+    for text in texts:
+        w = coded(words_of(text.as_py()), hashes)
+        x = shingles(w)
+        yield len(w), x, (x >> np.uint64(42)).astype(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, cells = _Hashes(), np.zeros(CELLS, np.uint32)
     for batch in batches:
-        for text in batch.column(1):
-            np.add.at(cells, (shingles(words_of(text.as_py()), hashes) >> np.uint64(42)).astype(np.int64), 1)
+        for _, _, at in _cells(batch.column(1), hashes):
+            np.add.at(cells, at, 1)
     full = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
+    part = TaskContext.get().partitionId()
     data = [cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "counts"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.uint32)
     for data in table.column("counts"):
         total += np.frombuffer(data.as_py(), np.uint32)
-    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """Counters of the shingles of all ``texts``, summed in a tree, so that no task holds more than ``ARITY`` tasks' blocks."""
+    schema = "part int, block int, counts binary"
+    parts = materialise(texts.mapInArrow(_counted, schema), "counts")
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while most:
+        parts = parts.withColumn("part", F.floor(F.col("part") / ARITY).cast("int")).groupBy("part", "block").applyInArrow(_summed, schema)
+        most //= ARITY
+    cells = np.zeros(CELLS, np.uint32)
+    for row in parts.toLocalIterator():
+        cells[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
+    return cells
 
 
-def _prefixes(cells: np.ndarray, threshold: float):
+def _prefixes(cells: np.ndarray, shared: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        kinds = pa.list_(pa.struct([("bucket", pa.int64()), ("at", pa.int64()), ("lead", pa.bool_())]))
         for batch in batches:
-            sizes, spots = [], []
-            for text in batch.column(1):
-                x = shingles(words_of(text.as_py()), hashes)
-                n, often = len(x), cells[(x >> np.uint64(42)).astype(np.int64)]
-                order = np.lexsort((x, often))
-                follow = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                lead = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
-                keys = x.view(np.int64)
-                spots.append([{"bucket": int(keys[i]), "at": at, "lead": at < lead} for at, i in enumerate(order[:follow].tolist()) if often[i] > 1])
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spots, kinds)], names=["doc", "n", "spots"])
+            sizes, ends, found = [], [0], [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            for words, x, at in _cells(batch.column(1), hashes):
+                n, often = len(x), cells[at]
+                follow = n - int(np.ceil(shared * n - 1e-9)) + 1
+                lead = n - int(np.ceil(2 * shared / (1 + shared) * n - 1e-9)) + 1
+                order = np.lexsort((x, often))[:follow]
+                place = np.flatnonzero(often[order] > 1)
+                found.append((x[order[place]], place, place < lead))
+                sizes.append(words)
+                ends.append(ends[-1] + len(place))
+            keys, places, leads = (np.concatenate(column) for column in zip(*found, strict=True))
+            spots = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), pa.array(leads)], names=["bucket", "at", "lead"])
+            spots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spots)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spots], names=["doc", "n", "spots"])
+        hashes.clear()
+        release_memory()
 
     return run
 
 
-def _rarest(texts: DataFrame, threshold: float, total: int) -> DataFrame:
-    """``_rows`` by prefix filtering, which misses no pair.
+def _rarest(texts: DataFrame, shared: float) -> DataFrame:
+    """``_rows`` by prefix filtering, which misses no pair that shares ``shared`` of its shingles.
 
-    With the n shingles of a text in order of rarity, two texts of ``threshold`` share one among
-    the first n - ceil(threshold * n) + 1 of the longer (it may follow) and the first
-    n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead). Any order will
+    With the n shingles of a text in order of rarity, two such texts share one among
+    the first n - ceil(shared * n) + 1 of the longer (it may follow) and the first
+    n - ceil(2 * shared / (1 + shared) * n) + 1 of the shorter (it may lead). Any order will
     do; rarity is estimated by ``CELLS`` counters, so a shingle counted once has no partner.
     """
-    spark = texts.sparkSession
-    parts = texts.mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary")
-    cells = np.zeros(CELLS, np.uint32)
-    for row in parts.collect():
-        cells[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
-    shared = spark.sparkContext.broadcast(cells)
+    held = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _prefixes(shared.value, threshold)(batches)
+        yield from _prefixes(held.value, shared)(batches)
 
     found = materialise(texts.mapInArrow(prefixes, "doc long, n long, spots array<struct<bucket: long, at: long, lead: boolean>>"), "prefixes")
     spread = found.select("doc", "n", F.explode("spots").alias("spot")).select("doc", "n", "spot.*")
-    return _rows(spread, total, -F.first("n"))
+    return _rows(spread, -F.first("n"))
 
 
-def _rows(spread: DataFrame, total: int, rank: Column) -> DataFrame:
+def _rows(spread: DataFrame, rank: Column) -> DataFrame:
     """``bucket, doc, n, at, rank, lead`` of the rows of ``spread`` whose bucket has another text and one to lead."""
     several = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led"), "buckets")
-    n_blocks = bloom.blocks_for(several.count())
+    sizes = several.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows")).first()
+    n_blocks = bloom.blocks_for(sizes.n)
     shared = bloom.probe(spread, F.col("bucket"), bloom.build(several, "bucket", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
-    shared = join_groups(shared, several, "bucket", "size", total)
+    shared = join_groups(shared, several, "bucket", "size", sizes.rows)
     by_doc = shared.groupBy("doc").agg(rank.alias("rank"), F.first("n").alias("n"), F.collect_list(F.struct("bucket", "at", "lead")).alias("spots"))
     spots = by_doc.select("doc", "rank", "n", F.explode("spots").alias("spot"))
     return materialise(spots.select("spot.bucket", "doc", "n", "spot.at", "rank", "spot.lead"), "rows")
@@ -234,8 +311,8 @@ def _verified(threshold: float):
             near = []
             for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != last:
-                    last, x = a, shingles(words_of(left.as_py()), hashes)
-                near.append(similarity(x, shingles(words_of(right.as_py()), hashes), threshold))
+                    last, x = a, coded(words_of(left.as_py()), hashes)
+                near.append(similarity(x, coded(words_of(right.as_py()), hashes), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
         hashes.clear()
         release_memory()
@@ -258,6 +335,14 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) ->
     return both.mapInArrow(_verified(threshold), "a long, b long, similarity double")
 
 
+def _within(other: str, at: str, threshold: float) -> Column:
+    """Whether lengths, and places in the order of rarity, allow a pair of ``threshold`` that shares ``SHARED``."""
+    mine, its = (F.greatest(F.col(n) - WORDS + 1, F.lit(1)) for n in ("n", other))
+    least = F.ceil(SHARED / (1 + SHARED) * (mine + its) - 1e-9)
+    long_enough = F.least(F.col("n"), F.col(other)) >= threshold * F.greatest(F.col("n"), F.col(other)) - 1e-9
+    return long_enough & (least <= mine - F.col("at")) & (least <= its - F.col(at))
+
+
 def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links among ``rows`` (bucket, doc, n, at, rank, lead), and the pairs that were tested (a < b in both).
 
@@ -282,10 +367,9 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             chosen = sizes.filter("top is not null")
         head = F.struct("top.rank", "top.minus")
         chosen = materialise(chosen.select("bucket", "size", head.alias("head"), F.col("top.n").alias("top_n"), F.col("top.at").alias("top_at")), "chosen")
-        least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("top_n")) - 1e-9)
         met = join_groups(rows, chosen, "bucket", "size", total)
         met = met.filter((F.col("doc") != -F.col("head.minus")) & (F.col("lead") | (standing < F.col("head"))))
-        met = met.filter((least <= F.col("n") - F.col("at")) & (least <= F.col("top_n") - F.col("top_at")))
+        met = met.filter(_within("top_n", "top_at", threshold))
         met = materialise(met.select("bucket", (-F.col("head.minus")).alias("a"), F.col("doc").alias("b")), "met")
         pairs = materialise(met.select("a", "b").distinct(), "pairs")
         tested = verify(pairs, texts, threshold, pairs.count()).filter(F.col("similarity") >= threshold)
@@ -298,7 +382,7 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led")
             sized = materialise(join_groups(left, several, "bucket", "size", total), "sized")
             crowd = sized.filter(F.col("size") > CROWD).select(F.col("doc").alias("doc_id")).distinct()
-            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold, total)
+            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), SHARED)
             left = materialise(sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine), "rows")
         rows = left
         rounds += 1
@@ -339,8 +423,8 @@ def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFra
         split = _split(rows, links)
         if rounds == 1:
             crowd = materialise(split.filter(F.col("others") > CROWD).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
-            if n_crowd := crowd.count():
-                fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold, n_crowd * SKETCHES)
+            if crowd.limit(1).count():
+                fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), SHARED)
                 calm = split.filter(F.col("others") <= CROWD)
                 split = _split(materialise(calm.select("bucket", "doc", "n", "at", "lead").unionByName(fine.select("bucket", "doc", "n", "at", "lead")), "rows"), links)
         total = split.count()
@@ -352,8 +436,7 @@ def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFra
         heads = led.groupBy("bucket", part.alias("part")).agg(F.first("size").alias("size"), F.max(F.struct("doc", "n", "at", "lead", "label")).alias("head"))
         heads = materialise(heads.select("bucket", "size", "head"), "heads")
         met = join_groups(split.drop("size"), heads, "bucket", "size", total).filter(F.col("label") != F.col("head.label"))
-        least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("head.n")) - 1e-9)
-        met = met.filter((least <= F.col("n") - F.col("at")) & (least <= F.col("head.n") - F.col("head.at")))
+        met = met.filter(_within("head.n", "head.at", threshold))
         met = met.filter((F.col("head.lead") & (F.col("head.n") <= F.col("n"))) | (F.col("lead") & (F.col("n") <= F.col("head.n"))))
         met = met.select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.least("head.doc", "doc").alias("lo"), F.greatest("head.doc", "doc").alias("hi"))
         known = tested.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
@@ -383,11 +466,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = source.filter("doc_id is not null")
     base = materialise(given.mapInArrow(_sketched, _SKETCHED), "sketches")
     n_docs = base.count()
-    first = base.groupBy("key").agg(F.min(F.struct("doc_id", "shingles", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.shingles").alias("n"), F.col("first.buckets").alias("buckets")), "unique")
+    first = base.groupBy("key").agg(F.min(F.struct("doc_id", "words", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    unique = materialise(first.select("key", F.col("first.doc_id").alias("rep"), "copies", F.col("first.words").alias("n"), F.col("first.buckets").alias("buckets")), "unique")
 
     spread = unique.select(F.col("rep").alias("doc"), "n", F.explode("buckets").alias("bucket"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("lead"))
-    rows = _rows(spread, n_docs * SKETCHES, F.sum("size"))
+    rows = _rows(spread, F.sum("size"))
     ids = materialise(rows.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     n_blocks = bloom.blocks_for(ids.count())
     maybe = bloom.probe(given, F.col("doc_id"), bloom.build(ids, "doc_id", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
