@@ -34,10 +34,9 @@ THRESHOLD = 0.8
 #: is shared with probability j ** 2, at least one of 32 with 0.98 at j = 0.35 (about one word in eight edited) and 0.9999 at 0.5.
 SKETCHES = 32
 PICKS = 2
-#: Where candidates come from prefixes, no pair of ``THRESHOLD`` is missed whose part of shared shingles is at least this.
-SHARED = 0.35
-#: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share
-#: a passage, say) are dealt anew by their rarest shingles, which misses no pair of these texts that shares ``SHARED``.
+#: Buckets in which more than ``CROWD`` texts aren't close to their leader (texts that only share a passage, say) are
+#: dealt anew: by their rarest shingles, which misses no pair that shares ``THRESHOLD`` of its shingles, and by
+#: sketches of those shingles that aren't frequent in crowded buckets, so that a common passage doesn't make a bucket.
 CROWD = 16
 #: Leaders a bucket in one round of ``_mended``: CROWD at first, four times as many in each round, up to this.
 MOST_LEADERS = 256
@@ -45,7 +44,11 @@ MOST_LEADERS = 256
 CELLS = 1 << 22
 BLOCK = 1 << 16
 ARITY = 64
-#: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair that shares ``SHARED``.
+#: A shingle is frequent from this many times the mean of the counters.
+FREQUENT = 16
+#: Sets the keys of prefixes and of sketches of crowded buckets apart from others.
+_AGAIN = np.uint64(0x1B873593CC9E2D51)
+#: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair that shares ``THRESHOLD`` of its shingles.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
 MAX_WORDS_KEPT = 250_000
@@ -97,10 +100,10 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return x
 
 
-def sketch(x: np.ndarray) -> list[int]:
+def sketch(x: np.ndarray) -> np.ndarray:
     """Bucket keys of a text with labelled shingles ``x``; none for a text without words."""
     if not len(x):
-        return []
+        return np.zeros(0, np.int64)
     y = (x[None, :] ^ _SEEDS[0][:, None]) * (_SEEDS[1][:, None] | np.uint64(1))
     y ^= y >> np.uint64(31)
     picks, rows = [], np.arange(SKETCHES)
@@ -113,9 +116,9 @@ def sketch(x: np.ndarray) -> list[int]:
     for i in range(spots.shape[1]):
         key = _mix(key * _P + x[spots[:, i]])
     if len(x) <= SHORT:
-        prefix = np.sort(x)[: len(x) - int(np.ceil(SHARED * len(x) - 1e-9)) + 1]
+        prefix = np.sort(x)[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-9)) + 1]
         key = np.concatenate([key, _mix(prefix + np.uint64(77))])
-    return np.unique(key.view(np.int64)).tolist()
+    return np.unique(key.view(np.int64))
 
 
 def _lcs(a: list[int], b: list[int]) -> int:
@@ -203,7 +206,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(text.as_py())
             keys.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             sizes.append(len(words))
-            buckets.append(sketch(shingles(coded(words, hashes))))
+            buckets.append(sketch(shingles(coded(words, hashes))).tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], schema=schema)
     hashes.clear()
     release_memory()
@@ -249,23 +252,31 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     return cells
 
 
-def _prefixes(cells: np.ndarray, shared: float):
+def _spots(x: np.ndarray, often: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, place in the order of rarity and whether it may lead, for each spot of a text of a crowded bucket."""
+    n = len(x)
+    follow = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    lead = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+    order = np.lexsort((x, often))[:follow]
+    place = np.flatnonzero(often[order] > 1)
+    again = sketch(_mix(x[(often > 1) & (often < frequent)] ^ _AGAIN))
+    keys = np.concatenate([x[order[place]].view(np.int64), again])
+    return keys, np.concatenate([place, np.zeros(len(again), np.int64)]), np.concatenate([place < lead, np.ones(len(again), bool)])
+
+
+def _dealt(cells: np.ndarray, threshold: float):
+    frequent = FREQUENT * cells[cells > 0].mean() if cells.any() else 0.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sizes, ends, found = [], [0], [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            sizes, ends, found = [], [0], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
             for words, x, at in _cells(batch.column(1), hashes):
-                n, often = len(x), cells[at]
-                follow = n - int(np.ceil(shared * n - 1e-9)) + 1
-                lead = n - int(np.ceil(2 * shared / (1 + shared) * n - 1e-9)) + 1
-                order = np.lexsort((x, often))[:follow]
-                place = np.flatnonzero(often[order] > 1)
-                found.append((x[order[place]], place, place < lead))
+                found.append(_spots(x, cells[at], frequent, threshold))
                 sizes.append(words)
-                ends.append(ends[-1] + len(place))
-            keys, places, leads = (np.concatenate(column) for column in zip(*found, strict=True))
-            spots = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), pa.array(leads)], names=["bucket", "at", "lead"])
-            spots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spots)
+                ends.append(ends[-1] + len(found[-1][0]))
+            columns = [pa.array(np.concatenate(column)) for column in zip(*found, strict=True)]
+            spots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["bucket", "at", "lead"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spots], names=["doc", "n", "spots"])
         hashes.clear()
         release_memory()
@@ -273,20 +284,20 @@ def _prefixes(cells: np.ndarray, shared: float):
     return run
 
 
-def _rarest(texts: DataFrame, shared: float) -> DataFrame:
-    """``_rows`` by prefix filtering, which misses no pair that shares ``shared`` of its shingles.
+def _anew(texts: DataFrame, threshold: float) -> DataFrame:
+    """``_rows`` of the texts of crowded buckets, dealt by prefixes and by sketches of their shingles that aren't frequent.
 
-    With the n shingles of a text in order of rarity, two such texts share one among
-    the first n - ceil(shared * n) + 1 of the longer (it may follow) and the first
-    n - ceil(2 * shared / (1 + shared) * n) + 1 of the shorter (it may lead). Any order will
+    With the n shingles of a text in order of rarity, two texts that share ``threshold`` of them have one in common among
+    the first n - ceil(threshold * n) + 1 of the longer (it may follow) and the first
+    n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead). Any order will
     do; rarity is estimated by ``CELLS`` counters, so a shingle counted once has no partner.
     """
     held = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _prefixes(held.value, shared)(batches)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(held.value, threshold)(batches)
 
-    found = materialise(texts.mapInArrow(prefixes, "doc long, n long, spots array<struct<bucket: long, at: long, lead: boolean>>"), "prefixes")
+    found = materialise(texts.mapInArrow(dealt, "doc long, n long, spots array<struct<bucket: long, at: long, lead: boolean>>"), "spots")
     spread = found.select("doc", "n", F.explode("spots").alias("spot")).select("doc", "n", "spot.*")
     return _rows(spread, -F.first("n"))
 
@@ -336,11 +347,12 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, total: int) ->
 
 
 def _within(other: str, at: str, threshold: float) -> Column:
-    """Whether lengths, and places in the order of rarity, allow a pair of ``threshold`` that shares ``SHARED``."""
+    """Whether lengths, and places in the order of rarity, allow a pair of ``threshold``."""
     mine, its = (F.greatest(F.col(n) - WORDS + 1, F.lit(1)) for n in ("n", other))
-    least = F.ceil(SHARED / (1 + SHARED) * (mine + its) - 1e-9)
+    least = F.ceil(threshold / (1 + threshold) * (mine + its) - 1e-9)
     long_enough = F.least(F.col("n"), F.col(other)) >= threshold * F.greatest(F.col("n"), F.col(other)) - 1e-9
-    return long_enough & (least <= mine - F.col("at")) & (least <= its - F.col(at))
+    placed = (least <= mine - F.col("at")) & (least <= its - F.col(at))
+    return long_enough & (placed | ((F.col("at") == 0) & (F.col(at) == 0)))
 
 
 def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +362,7 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
     buckets with others); the rest are aligned with it, unless their lengths, or their places
     in the order of rarity, rule out ``threshold``. Texts that aren't close to their
     leader go on to the next round with more leaders a bucket, until no text can lead.
-    After the first round the texts of crowded buckets are dealt anew by ``_rarest``, which
+    After the first round the texts of crowded buckets are dealt anew by ``_anew``, which
     ranks the shortest first; there a text that may only follow isn't compared with a lower rank.
     A text close to a leader isn't compared with the rest of the bucket here; see ``_mended``.
     """
@@ -382,7 +394,7 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFra
             several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("lead").alias("led")).filter("size > 1 and led").drop("led")
             sized = materialise(join_groups(left, several, "bucket", "size", total), "sized")
             crowd = sized.filter(F.col("size") > CROWD).select(F.col("doc").alias("doc_id")).distinct()
-            fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), SHARED)
+            fine = _anew(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold)
             left = materialise(sized.filter(F.col("size") <= CROWD).select(*fine.columns).unionByName(fine), "rows")
         rows = left
         rounds += 1
@@ -395,13 +407,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _split(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``bucket, doc, n, at, lead, label, size, main, others`` of the rows whose bucket has texts of several classes.
 
     ``main`` is the class with most texts in the bucket, and ``others`` counts the texts outside it.
     """
-    labels = components(links).withColumnRenamed("node", "doc")
-    named = rows.select("bucket", "doc", "n", "at", "lead").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    named = rows.select("bucket", "doc", "n", "at", "lead").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     named = materialise(named, "named")
     classes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("top"))
@@ -409,29 +420,30 @@ def _split(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(join_groups(named, materialise(groups, "groups"), "bucket", "size", named.count()), "split")
 
 
-def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``links`` and those between texts of one bucket that are still in different classes.
+def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``links``, with those between texts of one bucket that are still in different classes.
 
     In a bucket of several classes, every text outside the largest is compared with all texts
     of other classes, unless the pair was tested before or lengths or places rule it out. So no two classes
-    stay apart that a pair of a bucket links. Buckets with more than ``CROWD`` such texts are dealt anew by ``_rarest``,
+    stay apart that a pair of a bucket links. Buckets with more than ``CROWD`` such texts are dealt anew by ``_anew``,
     the linked texts with them, and led by some of these texts a round; classes are named anew after each.
     """
     leaders, rounds = CROWD, 0
     links, tested = materialise(links, "links"), materialise(tested, "tested")
+    labels = components(links)
     while True:
-        split = _split(rows, links)
-        if rounds == 1:
+        split = _split(rows, labels)
+        if not rounds:
             crowd = materialise(split.filter(F.col("others") > CROWD).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
             if crowd.limit(1).count():
-                fine = _rarest(texts.join(crowd, "doc_id").select("doc_id", "text"), SHARED)
+                fine = _anew(texts.join(crowd, "doc_id").select("doc_id", "text"), threshold)
                 calm = split.filter(F.col("others") <= CROWD)
-                split = _split(materialise(calm.select("bucket", "doc", "n", "at", "lead").unionByName(fine.select("bucket", "doc", "n", "at", "lead")), "rows"), links)
+                columns = ["bucket", "doc", "n", "at", "lead"]
+                split = _split(materialise(calm.select(*columns).unionByName(fine.select(*columns)), "rows"), labels)
         total = split.count()
         if not total:
-            return links
+            return links, labels
         led = split.filter("label != main")
-        led = led.filter(F.col("others") <= CROWD) if not rounds else led
         part = F.when(F.col("others") <= leaders, F.col("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(leaders)))
         heads = led.groupBy("bucket", part.alias("part")).agg(F.first("size").alias("size"), F.max(F.struct("doc", "n", "at", "lead", "label")).alias("head"))
         heads = materialise(heads.select("bucket", "size", "head"), "heads")
@@ -442,11 +454,13 @@ def _mended(rows: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFra
         known = tested.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
         pairs = materialise(met.dropDuplicates(["lo", "hi"]).join(known, ["lo", "hi"], "left_anti").select("a", "b"), "pairs")
         if n_pairs := pairs.count():
-            ok = verify(pairs, texts, threshold, n_pairs).filter(F.col("similarity") >= threshold).select("a", "b")
-            links = materialise(links.unionByName(_ordered(ok)), "links")
+            ok = materialise(_ordered(verify(pairs, texts, threshold, n_pairs).filter(F.col("similarity") >= threshold)), "ok")
+            if ok.limit(1).count():
+                links = materialise(links.unionByName(ok), "links")
+                labels = components(links)
             tested = tested.unionByName(_ordered(pairs))
         rows = split.join(heads.select("bucket", F.col("head.doc").alias("doc")), ["bucket", "doc"], "left_anti")
-        leaders = min(MOST_LEADERS, leaders * 4) if rounds else leaders
+        leaders = min(MOST_LEADERS, leaders * 4)
         rounds += 1
 
 
@@ -475,11 +489,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_blocks = bloom.blocks_for(ids.count())
     maybe = bloom.probe(given, F.col("doc_id"), bloom.build(ids, "doc_id", n_blocks), n_blocks).filter("__maybe").drop("__maybe")
     texts = materialise(maybe.join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    links = _mended(rows, *_links(rows, texts, threshold), texts, threshold)
+    links, labels = _mended(rows, *_links(rows, texts, threshold), texts, threshold)
 
     ends = links.select(F.col("a").alias("rep")).union(links.select("b"))
     degrees = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(links).withColumnRenamed("node", "rep").join(degrees, "rep")
+    labels = labels.withColumnRenamed("node", "rep").join(degrees, "rep")
     named = unique.select("key", "rep", "copies").join(labels, "rep", "left")
     named = materialise(named.select("key", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
