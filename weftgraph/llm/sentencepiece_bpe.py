@@ -3,8 +3,8 @@
 ``Encoder`` keeps an agenda (a heap) of adjacent symbol pairs that form a piece, ordered by
 score and then by place, and merges the best until none is left. No piece of such a
 vocabulary holds a meta space after another character, so no merge crosses the start of
-a word; frequent words are encoded once and kept. In every batch each ``CHECK_EVERY``-th whole text
-is compared with the sentencepiece library, and a difference is an error.
+a word; frequent words are encoded once and kept. In every batch all whole texts
+are compared with the sentencepiece library, and a difference is an error.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ SPACE = "▁"
 MAX_WORDS_KEPT = 400_000
 MAX_MISSES = 4_000_000
 MAX_WORD_KEPT = 48
-CHECK_EVERY = 4
 
 
 class Encoder:
@@ -37,13 +36,13 @@ class Encoder:
     def __init__(self, model_path: str) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         m = self.library
-        self.ids, self.scores, self.bytes = {}, {}, {}
+        self.ids, self.order, self.bytes = {}, {}, {}
         for i in range(m.vocab_size()):
             piece = m.id_to_piece(i)
             if m.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-                self.ids[piece], self.scores[piece] = i, m.get_score(i)
+                self.ids[piece], self.order[piece] = i, -m.get_score(i)
         self.unknown, self.end = m.unk_id(), m.eos_id()
         self.crossing = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.breaks = not any("\n" in piece for piece in self.ids)
@@ -53,33 +52,28 @@ class Encoder:
         self.split = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word by the agenda."""
-        symbols: list[str | None] = list(word)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        score = self.scores.get
-        pairs = map(str.__add__, word, word[1:])
-        agenda = [(-x, i, both) for i, both in enumerate(pairs) if (x := score(both)) is not None]
+        """Ids of one word by the agenda: pairs as (order, start, end), best score first and leftmost of equal ones."""
+        n, order, push, pop = len(word), self.order.get, heapq.heappush, heapq.heappop
+        agenda = [(x, i, i + 2) for i in range(n - 1) if (x := order(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
+        # where the symbol that starts here ends (0: none does), and where the one that ends here starts
+        ends, starts = list(range(1, n + 1)), list(range(-1, n))
         while agenda:
-            _, i, both = heapq.heappop(agenda)
-            left, j = symbols[i], after[i]
-            # an entry is stale if either symbol has been merged since
-            if left is None or j >= n or len(left) + len(symbols[j]) != len(both) or not both.startswith(left):
+            _, i, e = pop(agenda)
+            m = ends[i]
+            # stale if start and end no longer hold just two symbols
+            if not 0 < m < e or ends[m] != e:
                 continue
-            symbols[i], symbols[j] = both, None
-            after[i] = k = after[j]
-            h = before[i]
-            if k < n:
-                before[k] = i
-                if (x := score(more := both + symbols[k])) is not None:
-                    heapq.heappush(agenda, (-x, i, more))
-            if h >= 0 and (x := score(more := symbols[h] + both)) is not None:
-                heapq.heappush(agenda, (-x, h, more))
+            ends[i], ends[m], starts[e] = e, 0, i
+            if e < n and (x := order(word[i : (k := ends[e])])) is not None:
+                push(agenda, (x, i, k))
+            if i and (x := order(word[(h := starts[i]) : e])) is not None:
+                push(agenda, (x, h, e))
         out: list[int] = []
-        for s in symbols:
-            if s is None:
-                continue
+        i = 0
+        while i < n:
+            s = word[i : ends[i]]
+            i = ends[i]
             if s in self.ids:
                 out.append(self.ids[s])
             elif self.bytes:
@@ -129,17 +123,17 @@ def _sha(text: str) -> str:
     return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _run(model_path: str, with_ids: bool, check_every: int):
+def _run(model_path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_path)
         library = encoder.library
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [encoder.encode(t) for t in texts]
-            expected = library.encode(texts[::check_every], add_eos=True, num_threads=1)
-            for i, want in enumerate(expected):
-                if ids[i * check_every] != want:
-                    raise ValueError(f"the library encodes the text of id {batch.column(0)[i * check_every]} otherwise")
+            expected = library.encode(texts, add_eos=True, num_threads=1)
+            if ids != expected:
+                wrong = next(i for i, want in enumerate(expected) if ids[i] != want)
+                raise ValueError(f"the library encodes the text of id {batch.column(0)[wrong]} otherwise")
             decimals = encoder.decimals.__getitem__
             decoded = library.decode(ids, num_threads=1)
             columns = {
@@ -156,7 +150,7 @@ def _run(model_path: str, with_ids: bool, check_every: int):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, with_ids: bool = False, check_every: int = CHECK_EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` and ``decoded`` if asked for.
 
     The whole text is encoded with an end id only; null counts as empty and gives the end id
@@ -166,4 +160,4 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = False, check_every
     small_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(model_path, with_ids, check_every), schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(model_path, with_ids), schema)
