@@ -2,9 +2,10 @@
 
 Arrivals are appended as runs of small immutable shards. Runs of similar size are merged,
 tier by tier, into files of a target size; a merged run is written once, however many tiers
-it climbs. A manifest version lists the runs that count and is committed by one rename, so
-a reader sees either the old version or the new one, and a lost job leaves only files that
-no manifest names.
+it climbs. A manifest version lists the runs that count and is committed by one rename that
+fails where the version is there already, so a reader sees either the old version or the
+new one, of two writers one loses, and a lost job leaves only files that no manifest
+names, until ``vacuum`` deletes them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +51,42 @@ def commit(spark: SparkSession, root: str, runs: list[tuple[str, int, int, int]]
     source, fs = _path(spark, staged)
     goal, _ = _path(spark, f"{root}/manifest/v{base + 1}")
     fs.mkdirs(goal.getParent())
-    if fs.exists(goal) or not fs.rename(source, goal):
-        raise RuntimeError(f"version {base + 1} of {root} was committed by another writer")
+    jvm = spark.sparkContext._jvm
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(source, goal, options)
+    except Py4JJavaError as e:
+        fs.delete(source, True)
+        raise RuntimeError(f"version {base + 1} of {root} was committed by another writer") from e
     return base + 1
 
 
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Delete the runs that none of the last ``keep`` versions names, and older manifests; returns the runs deleted.
+
+    Not to be called while another writer is between its runs and its commit.
+    """
+    now = version(spark, root)
+    if not now:
+        return []
+    kept = {r.run for v in range(max(1, now - keep + 1), now + 1) for r in spark.read.schema(_RUN).parquet(f"{root}/manifest/v{v}").collect()}
+    at, fs = _path(spark, f"{root}/runs")
+    gone = []
+    for run in fs.listStatus(at) if fs.exists(at) else []:
+        name = run.getPath().getName()
+        below = [name] if name.startswith("merged-") else [f"{name}/{x.getPath().getName()}" for x in fs.listStatus(run.getPath()) if x.isDirectory()]
+        gone += [x for x in below if x not in kept]
+    for run in gone:
+        fs.delete(_path(spark, f"{root}/runs/{run}")[0], True)
+    for v in range(1, max(1, now - keep + 1)):
+        fs.delete(_path(spark, f"{root}/manifest/v{v}")[0], True)
+    fs.delete(_path(spark, f"{root}/staged")[0], True)
+    return gone
+
+
 def _measured(spark: SparkSession, root: str, runs: list[str], schema) -> list[tuple[str, int, int, int]]:
     out = []
     for run in runs:
@@ -143,6 +176,7 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFr
     spark, root = docs.sparkSession, new_path(docs.sparkSession, "shards")
     append(docs, root, arrival_of("doc_id"))
     now = compact(spark, root, docs.schema, target_bytes=target_bytes)
+    vacuum(spark, root)
     stored = read(spark, root, docs.schema)
     return stored.select("doc_id", F.sha2(text_of().cast("binary"), 256).alias("text_sha256"), F.lit(now).cast("long").alias("manifest_version"))
 
