@@ -19,6 +19,8 @@ MAX_SOURCES = 100_000
 BLOCK_ROWS = 256
 MAX_BLOCKS = 65_536
 STEPS = 40
+#: Largest exponent tried for a target entropy.
+STEEPEST = 64.0
 SEED = "weft"
 
 
@@ -36,9 +38,10 @@ def _row_hash(id_col: str) -> Column:
 
 
 def _exponent(table: DataFrame, target_entropy: float | None, max_repetition: float) -> DataFrame:
-    """One row (alpha, top) from the source table: the smallest exponent in 0 to 1 that keeps the limit.
+    """One row (alpha, top, met) from the source table: the smallest exponent in 0 to 1 that keeps the limit.
 
-    With ``target_entropy`` (natural units) it is the exponent that meets it, as far as 0 to 1 allows.
+    With ``target_entropy`` (natural units) it is the exponent from 0 to ``STEEPEST`` that meets it: above 1 for less
+    entropy than the sources have. 0 if even weights have no more; ``met`` is false if no exponent has so little.
     """
     packed = table.filter("tokens > 0").agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t"))
 
@@ -51,7 +54,8 @@ def _exponent(table: DataFrame, target_entropy: float | None, max_repetition: fl
         entropy = F.aggregate(powers, F.lit(0.0), lambda a, x: a - x / total * F.log(x / total))
         return entropy <= F.lit(float(target_entropy))
 
-    ends = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    most = 1.0 if target_entropy is None else STEEPEST
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(most).alias("high"))
 
     def step(acc: Column, _: Column) -> Column:
         middle = (acc["low"] + acc["high"]) / 2
@@ -60,24 +64,28 @@ def _exponent(table: DataFrame, target_entropy: float | None, max_repetition: fl
 
     bisected = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), ends, step)
     alpha = F.when(holds(F.lit(0.0)), F.lit(0.0)).otherwise(F.round(bisected["high"], 9))
-    return packed.filter(F.size("t") > 0).select(alpha.alias("alpha"), F.element_at("t", -1).alias("top"))
+    return packed.filter(F.size("t") > 0).select(alpha.alias("alpha"), F.element_at("t", -1).alias("top"), holds(F.lit(most)).alias("met"))
 
 
 def weigh(rows: DataFrame, target_entropy: float | None = None, max_repetition: float = 2.0, budget: int | None = None) -> DataFrame:
     """Sources of ``rows`` (source_key, n_tokens) with tokens, n_rows, weight, full, rest.
 
     ``budget`` is the total of tokens to realise; without one it is the least that gives every row once. A source of no
-    tokens has weight 0 and is given once.
+    tokens has weight 0 and is given once. A target entropy that no exponent meets (there are as large sources) is an error.
     """
     table = materialise(rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")), "sources")
     if (n := table.count()) > MAX_SOURCES:
         raise ValueError(f"{n} sources; at most {MAX_SOURCES} are mixed")
     one = materialise(_exponent(table, target_entropy, max_repetition), "exponent").first()
     alpha, top = (one.alpha, one.top) if one else (1.0, 1.0)
-    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(top), F.lit(alpha))).otherwise(0.0)
+    if one and not one.met:
+        raise ValueError(f"no weights of these sources have an entropy of {target_entropy}")
+    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(one.top if one else 1.0), F.lit(alpha))).otherwise(0.0)
     total = table.agg(F.sum(power)).first()[0] or 1.0
     weight = power / F.lit(total)
-    # the largest source has power 1: without a budget it is given exactly once
+    # without a budget the source with most tokens for its weight is given exactly once: the largest, unless the exponent exceeds 1
+    if alpha > 1:
+        top = table.filter("tokens > 0").agg(F.max(F.col("tokens") / power)).first()[0]
     goal = F.lit(top) * power if budget is None else F.lit(float(budget)) * weight
     goal = F.round(goal).cast("long")
     some = F.col("tokens") > 0
@@ -133,9 +141,11 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(source_col).alias("source_key"), words.alias("n_tokens"), _row_hash(id_col).alias("__h"))
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float = 2.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float = 2.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", places: bool = False) -> DataFrame:
     """One row per row of ``docs`` and pass that gives it: doc_id, source, epoch, n_tokens, weight.
 
+    With ``places`` also block_place and row_place: the permutation of a source's pass is by block_place, then row_place.
+
     Tokens are runs of characters other than white space; null texts have none. Null sources are one
     source. Rows with one id are in one place of the permutation. An empty table gives an empty result.
     """
@@ -143,7 +153,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     sources = materialise(schedule(rows, weigh(rows, target_entropy, max_repetition, budget)), "schedule")
     told = rows.join(F.broadcast(sources), "source_key").withColumn("passes", _passes()).filter("passes > 0")
     source = F.when(F.col("source_key") == "n", F.lit(None)).otherwise(F.expr("substring(source_key, 2)"))
-    return told.select("doc_id", source.alias("source"), F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))).alias("epoch"), "n_tokens", "weight")
+    return told.select("doc_id", source.alias("source"), F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))).alias("epoch"), "n_tokens", "weight", *([_hash(F.col("source_key"), _block().cast("string")).alias("block_place"), F.col("__h").alias("row_place")] if places else []))
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repetition: float = 2.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
