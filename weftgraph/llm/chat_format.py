@@ -16,6 +16,7 @@ from hashlib import sha256
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,12 +84,18 @@ LAYOUTS = [
     _fields("nested pair", ("user", "data.prompt"), (ASSISTANT, "data.response")),
 ]
 BY_FINGERPRINT = {layout.fingerprint: layout for layout in LAYOUTS}
-KNOWN_PATHS = {p for layout in LAYOUTS for p in layout.paths}
 
 
-def layout_for(paths: set[str]) -> Layout | None:
-    """The layout of these paths; else of those that any layout knows (so extra fields don't matter)."""
-    return BY_FINGERPRINT.get(fingerprint(paths)) or BY_FINGERPRINT.get(fingerprint(paths & KNOWN_PATHS))
+def layout_for(paths: set[str], rows: bool = False) -> Layout | None:
+    """The layout with the fingerprint of these paths; else the one with most of its paths among them, so extra fields don't matter.
+
+    ``rows`` asks for layouts of one row a turn; other layouts are of one record a conversation.
+    """
+    found = BY_FINGERPRINT.get(fingerprint(paths))
+    if found and bool(found.order) == rows:
+        return found
+    fitting = [layout for layout in LAYOUTS if bool(layout.order) == rows and paths.issuperset(layout.paths)]
+    return max(fitting, key=lambda layout: len(layout.paths), default=None)
 
 
 def _at(record: Any, path: str) -> Any:
@@ -109,7 +116,7 @@ def canonical_role(role: Any) -> str:
 def turns_of(record: dict) -> tuple[str, list[tuple[str, str]]]:
     """Layout name and canonical (role, text) turns; an unknown layout has an empty name and no turns."""
     layout = layout_for(paths_of(record))
-    if layout is None or layout.order:
+    if layout is None:
         return "", []
     if layout.turns:
         return layout.name, [(canonical_role(t.get(layout.role)), _string(t.get(layout.text))) for t in _at(record, layout.turns) or []]
@@ -143,8 +150,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-_FORMATTED = "conv_id long, part int, layout string, formatted string, starts array<long>, ends array<long>"
-_SCHEMA = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("layout", pa.string()), ("formatted", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+_FORMATTED = "conv_id long, part long, layout string, formatted string, starts array<long>, ends array<long>"
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
 
 class _Parts:
@@ -179,13 +186,14 @@ class _Parts:
 
 def _format_rows(layout: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, current, begun = _Parts(), None, False
+        # partitions are ranges in order, so parts of one conversation in several are in order, too
+        parts, current, begun, first = _Parts(), None, False, TaskContext.get().partitionId() << 32
         for batch in batches:
             for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not begun or conv_id != current:
                     if begun:
                         parts.close()
-                    parts.open(conv_id, layout)
+                    parts.open(conv_id, layout, first)
                     current, begun = conv_id, True
                 parts.add(role, text)
             if parts.rows:
@@ -227,15 +235,15 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
     The table's field paths select the layout. Turns are ordered by turn (null first), then role
     and text; null roles and texts are empty; repeated rows are repeated turns; null ids are one
-    conversation. Parts of a conversation follow each other in one partition.
+    conversation. A long conversation may lie in several partitions; ``part`` numbers rise in its order.
     """
     small_batches(rows.sparkSession)
-    layout = layout_for(set(rows.columns))
-    if layout is None or not layout.order:
+    layout = layout_for(set(rows.columns), rows=True)
+    if layout is None:
         raise ValueError(f"no layout of one row a turn for the columns {sorted(rows.columns)}")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(layout.group).cast("long").alias("conv_id"), F.col(layout.order).alias("turn"), text(layout.role).alias("role"), text(layout.text).alias("text"))
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = turns.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_format_rows(layout.name), _FORMATTED)
 
 
@@ -257,7 +265,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            if row["part"] == 0:
+            if state is None or row["conv_id"] != state[0]:
                 finish()
                 state = [row["conv_id"], 0, sha256(), 0, sha256(), 0]
             formatted = row["formatted"]
@@ -276,5 +284,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation from its formatted parts: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    return formatted.drop("layout").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """One row per conversation from its formatted parts, in whatever order they are stored.
+
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A digest has to read a conversation from
+    its start, so one task streams it, a part at a time.
+    """
+    parts = formatted.drop("layout").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
