@@ -1,8 +1,8 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A text's UTF-8 bytes, padded with zeros, become the 8-bit grey samples of a lossless PNG
-image 64 wide. Images go into tar shards under the digest of their payload; a shard holds
-each digest once. Rows carry digest, shard, offset and length. Metadata columns come from
+image 64 wide. Images go into tar shards under the digest of their payload; a task writes
+each digest once, and where several tasks have it, one entry serves all rows. Rows carry digest, shard, offset and length. Metadata columns come from
 range reads of the image headers alone; features come from reading the stored samples back.
 """
 
@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import join_groups, materialise, new_path, small_batches
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -30,6 +30,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 8 + 25 + 20
 LEVEL = 3
 SHARD_BYTES = 256 << 20
+#: Images that one task reads back.
+READ_BYTES = 64 << 20
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -179,13 +181,13 @@ def _features(folder: str):
     return run
 
 
-def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the payloads of ``docs`` under ``folder`` and return its index, with metadata columns.
+def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write the payloads of ``docs`` under ``folder``; returns rows and entries.
 
-    One row per row of ``docs``: doc_id, digest, shard, offset, length, width, height,
-    bit_depth, n_bytes. Null counts as empty (one row of zeros). Equal texts have equal
-    digests and images; within a shard they share one entry. A lost task writes a new shard;
-    only shards that the committed index names count. An empty table gives an empty index.
+    Rows: doc_id, digest, one per row of ``docs``. Entries, one per digest: digest, copies, shard, offset, length,
+    width, height, bit_depth, n_bytes; in partitions of about ``READ_BYTES`` of images, in the order of the shards.
+    Null counts as empty (one row of zeros). Equal texts have equal digests and one entry. A lost task writes a new
+    shard; only shards that the committed index names count. An empty table gives empty results.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -194,17 +196,25 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     index = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stored(f"{folder}/shards"), schema)
     index.write.parquet(f"{folder}/index")
     found = spark.read.schema(schema).parquet(f"{folder}/index")
-    return found.mapInArrow(_headers(f"{folder}/shards"), schema + ", width long, height long, bit_depth long, n_bytes long")
+    entries = found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("shard", "offset", "length")).alias("at"))
+    entries = materialise(entries.select("digest", "copies", "at.*"), "entries")
+    size = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    entries = entries.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+    held = "digest string, copies long, shard string, offset long, length long"
+    return found.select("doc_id", "digest"), entries.mapInArrow(_headers(f"{folder}/shards"), held + ", width long, height long, bit_depth long, n_bytes long")
 
 
-def features(index: DataFrame, folder: str) -> DataFrame:
-    """``index`` with payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature, read from the shards."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(_features(f"{folder}/shards"), schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
+def features(entries: DataFrame, folder: str) -> DataFrame:
+    """``entries`` with payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature, read from the shards."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema)
+    return entries.mapInArrow(_features(f"{folder}/shards"), schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store ``docs`` in the shared folder, read all of it back, and return the contract's columns."""
+    """Store ``docs`` in the shared folder, read every entry back, and return the contract's columns."""
     folder = new_path(docs.sparkSession, "media")
-    out = features(store(docs, folder), folder)
+    rows, entries = store(docs, folder)
+    told = materialise(features(entries, folder), "features")
+    out = join_groups(rows, told, "digest", "copies", rows.count())
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
