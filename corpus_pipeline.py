@@ -2,6 +2,9 @@
 
 Language ID rejects texts of no language, exact and near-duplicate stages leave one document of each group,
 mixing repeats the smaller sources towards flatter weights, and SentencePiece encodes what is left.
+
+Every stage takes empty tables (and returns one), nulls in any column, repeated rows and columns beside those of
+``documents``; what happens to these is said at each stage. Whole texts are used, however long.
 """
 
 from __future__ import annotations
@@ -14,29 +17,32 @@ from weftgraph.llm.common import documents, materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter or without a language that has at least two fifths of the text."""
+    """Drops texts without a letter (null and empty ones too) and texts of which known languages explain less than half.
+
+    Texts in several known languages stay. Rows with a null id or label are judged like others but teach nothing.
+    """
     return language_id.reject(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of each group of equal texts."""
+    """Keeps the row with the largest doc_id of each group of equal texts; rows that repeat it, id and all, and rows without an id stay."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least doc_id of each class of near copies."""
+    """Keeps the row with the least doc_id of each class of near copies; rows without an id stay."""
     found = order_minhash.near_duplicates(docs)
     lost = materialise(found.filter(~found.kept & found.doc_id.isNotNull()).select("doc_id"), "lost")
     return exact_dedup.drop_ids(docs, lost, lost.count())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and documents of smaller sources up to twice."""
+    """Every document once, and documents of smaller sources up to twice; a null source is one of its own, a null text has no tokens."""
     return mixing.mixed_documents(docs, max_repetition=2.0)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document given by the mixture."""
+    """Token counts and digests of each document given by the mixture; a null text is encoded as an empty one."""
     return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
