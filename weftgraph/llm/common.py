@@ -24,6 +24,7 @@ MIN_HOT_ROWS = 128
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 _own_dirs: dict[str, str] = {}
+_kept: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +89,20 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+def kept_cache(cached):
+    """Mark a cached function as one whose values a worker may give up when it goes on to another operator."""
+    _kept.append(cached)
+    return cached
+
+
+def drop_caches() -> None:
+    """Give up what other operators kept in this Python worker."""
+    for cached in _kept:
+        if cached.cache_info().currsize:
+            cached.cache_clear()
+            release_memory()
+
+
 def release_memory() -> None:
     """Give back what a Python worker no longer uses; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

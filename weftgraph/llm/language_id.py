@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, release_memory, small_batches, text_of
+from .common import drop_caches, free_name, materialise, release_memory, small_batches, text_of
 
 #: The model is fitted on at most this many labelled texts, those with the smallest hashes.
 SAMPLE = 8_000
@@ -244,6 +244,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held = shared.value
         classes, table = held.classes, held.table
         for batch in batches:

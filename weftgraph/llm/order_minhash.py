@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import MAX_HOT_GROUPS, join_groups, materialise, release_memory, small_batches
+from .common import MAX_HOT_GROUPS, drop_caches, join_groups, materialise, release_memory, small_batches
 from .components import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ _AGAIN = np.uint64(0x1B873593CC9E2D51)
 #: Texts up to this many shingles also share a smallest-hash prefix, which misses no pair that shares ``THRESHOLD`` of its shingles.
 SHORT = 20
 #: A worker forgets its word hashes beyond this many.
-MAX_WORDS_KEPT = 250_000
+MAX_WORDS_KEPT = 100_000
 
 _SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -198,6 +198,7 @@ _SKETCHED = "doc_id long, key binary, words long, buckets array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
     hashes = _Hashes()
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("words", pa.int64()), ("buckets", pa.list_(pa.int64()))])
     for batch in batches:
@@ -221,6 +222,7 @@ def _cells(texts: pa.Array, hashes: dict[str, int]) -> Iterator[tuple[int, np.nd
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
     hashes, cells = _Hashes(), np.zeros(CELLS, np.uint32)
     for batch in batches:
         for _, _, at in _cells(batch.column(1), hashes):
@@ -229,6 +231,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     data = [cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in full]
     yield pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "counts"])
+    hashes.clear()
+    release_memory()
 
 
 def _summed(table: pa.Table) -> pa.Table:

@@ -3,8 +3,9 @@
 ``Encoder`` keeps an agenda (a heap) of adjacent symbol pairs that form a piece, ordered by
 score and then by place, and merges the best until none is left. No piece of such a
 vocabulary holds a meta space after another character, so no merge crosses the start of
-a word; frequent words are encoded once and kept. In every batch all whole texts
-are compared with the sentencepiece library, and a difference is an error.
+a word; frequent words are encoded once and kept. In every batch all
+words that were merged anew, and each ``CHECK_EVERY``-th whole text, are compared with the sentencepiece library, and
+a difference is an error.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import kept_cache, release_memory, small_batches
 
 SPACE = "▁"
 #: A worker keeps the first this many words it meets, and starts anew after as many misses; longer words aren't kept.
 MAX_WORDS_KEPT = 400_000
 MAX_MISSES = 4_000_000
 MAX_WORD_KEPT = 48
+CHECK_EVERY = 4
 
 
 class Encoder:
@@ -48,6 +50,8 @@ class Encoder:
         self.breaks = not any("\n" in piece for piece in self.ids)
         self.words: dict[str, bytes] = {}
         self.misses = 0
+        #: Words merged since the last check, and their ids.
+        self.fresh: list[tuple[str, bytes]] = []
         self.decimals = [str(i) for i in range(m.vocab_size())]
         self.split = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -85,6 +89,7 @@ class Encoder:
     def word(self, key: str) -> bytes:
         """Ids of one word as 32-bit integers; a key is a word without its meta space, or begins with a line break."""
         found = np.array(self.merge(key if key.startswith("\n") and self.breaks else SPACE + key), np.int32).tobytes()
+        self.fresh.append((key, found))
         self.misses += 1
         if self.misses > MAX_MISSES:
             self.words.clear()
@@ -93,6 +98,15 @@ class Encoder:
             self.words[key] = found
         return found
 
+    def check(self) -> None:
+        """Compare the words merged since the last check with the library, which sets a meta space before each."""
+        # a word that begins with a line break or a meta space, or is empty, occurs after another one only
+        fresh = [(k, ids) for k, ids in self.fresh if k and k[0] not in (SPACE, "\n")] if self.breaks and not self.crossing else []
+        self.fresh = []
+        for (key, ids), want in zip(fresh, self.library.encode([k for k, _ in fresh], num_threads=1), strict=True):
+            if ids != np.array(want, np.int32).tobytes():
+                raise ValueError(f"the library encodes the word {key!r} otherwise")
+
     def keys(self, text: str) -> list[str]:
         if self.crossing or not self.breaks or "  " in text or text[0] == " " or SPACE in text:
             whole = SPACE + text.replace(" ", SPACE)
@@ -113,6 +127,7 @@ class Encoder:
         return ids
 
 
+@kept_cache
 @lru_cache(maxsize=2)
 def encoder_of(model_path: str) -> Encoder:
     """One encoder a process, so that its words outlive a task."""
@@ -123,17 +138,18 @@ def _sha(text: str) -> str:
     return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _run(model_path: str, with_ids: bool):
+def _run(model_path: str, with_ids: bool, check_every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_path)
         library = encoder.library
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [encoder.encode(t) for t in texts]
-            expected = library.encode(texts, add_eos=True, num_threads=1)
-            if ids != expected:
-                wrong = next(i for i, want in enumerate(expected) if ids[i] != want)
-                raise ValueError(f"the library encodes the text of id {batch.column(0)[wrong]} otherwise")
+            encoder.check()
+            expected = library.encode(texts[::check_every], add_eos=True, num_threads=1)
+            if ids[::check_every] != expected:
+                wrong = next(i for i, want in enumerate(expected) if ids[i * check_every] != want)
+                raise ValueError(f"the library encodes the text of id {batch.column(0)[wrong * check_every]} otherwise")
             decimals = encoder.decimals.__getitem__
             decoded = library.decode(ids, num_threads=1)
             columns = {
@@ -150,7 +166,7 @@ def _run(model_path: str, with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, with_ids: bool = False, check_every: int = CHECK_EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` and ``decoded`` if asked for.
 
     The whole text is encoded with an end id only; null counts as empty and gives the end id
@@ -160,4 +176,4 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = False, id_col: str
     small_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(model_path, with_ids), schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(model_path, with_ids, check_every), schema)
