@@ -7,9 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Abbreviations after which a full stop doesn't end a sentence.
-ABBREVIATIONS = "Mr Mrs Ms Dr Prof Sr Jr St vs etc Inc Ltd Co Corp Fig No Vol pp approx e.g i.e a.m p.m U.S".split()
-_ABBREVIATED = re.compile(r"\b(?:" + "|".join(re.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r"|[A-Z])\.$")
+#: Abbreviations after which a full stop doesn't end a sentence, in either case.
+ABBREVIATIONS = (
+    "mr mrs ms dr prof sr jr st ave blvd dept vol vs etc inc ltd co corp gov gen col sgt capt maj lt pvt "
+    "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun e.g i.e cf al approx no fig eq ref sec chap app"
+).split()
+_ABBREVIATED = re.compile(r"\b(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.$", re.I)
+_INITIAL = re.compile(r"(?:^|\s)[A-Z]\.$")
+#: Fixed value: where a sentence may end.
 _BOUNDARY = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'(\[])")
 
 
@@ -22,7 +27,7 @@ def split_sentences(text: str | None, shortest: int = 20) -> list[str]:
         return [text]
     out: list[str] = []
     for piece in _BOUNDARY.split(text):
-        if out and _ABBREVIATED.search(out[-1]):
+        if out and (_ABBREVIATED.search(out[-1]) or (_INITIAL.search(out[-1]) and "A" <= piece[:1] <= "Z")):
             out[-1] += " " + piece
         else:
             out.append(piece)

@@ -29,10 +29,16 @@ def _seed(spark: SparkSession, start: str, **more) -> DataFrame:
     return spark.createDataFrame([(start, *[v for v, _ in more.values()])], "id string" + "".join(f", {k} {t}" for k, (_, t) in more.items()))
 
 
+def _pairs(edges: DataFrame, depth: int | None) -> DataFrame:
+    """Distinct ends of ``edges``, written once where more than one hop reads them."""
+    pairs = edges.select("src", "dst").distinct()
+    return pairs if depth is not None and depth < 2 else materialise(pairs, "pairs")
+
+
 def bfs(edges: DataFrame, start: str, depth: int | None = None) -> DataFrame:
     """``id, depth`` of the nodes reached from ``start`` in at most ``depth`` hops, the start included."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = _pairs(edges, depth)
     seen = materialise(_seed(spark, start, depth=(0, "int")), "seen")
     frontier, hop = seen, 0
     while depth is None or hop < depth:
@@ -59,7 +65,7 @@ def among(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int | None = None) -> DataFrame:
     """``path, hops`` of the shortest path, the lexicographically smallest of several; no row if there is none."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = _pairs(edges, max_depth)
     frontier = materialise(spark.createDataFrame([(a, [a])], "id string, path array<string>"), "path")
     seen, hop = frontier.select("id"), 0
     while True:
@@ -84,7 +90,7 @@ def distance(edges: DataFrame, a: str, b: str, max_depth: int | None = None) ->
 def all_paths(edges: DataFrame, a: str, b: str, max_depth: int, cap: int = 100) -> DataFrame:
     """``path, hops`` of the simple paths of at most ``max_depth`` hops; the ``cap`` first by length and then by name."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = _pairs(edges, max_depth)
     frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
     found = [frontier.filter(F.col("id") == b)]
     for _ in range(max_depth):
@@ -105,6 +111,8 @@ def weighted(edges: DataFrame, a: str, max_cost: float | None = None) -> DataFra
     """
     spark = edges.sparkSession
     summed = materialise(edges.groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w")), "weights")
+    if summed.filter("w < 0").limit(1).count():
+        raise ValueError("cheapest paths need weights of 0 or more")
     best = materialise(spark.createDataFrame([(a, 0.0, [a])], "id string, cost double, path array<string>"), "best")
     frontier = best
     while True:

@@ -526,3 +526,61 @@ def date_extract(spark, sf_dir):
 
     rows = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("seen on "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" and 2 days ago")).alias("text"))
     return rows.select("event_id", F.posexplode(dates("text")).alias("place", "at"))
+
+
+# statements without a query above
+
+
+_ALL_NODES = """nodes AS (
+  SELECT 'region' AS kind, NULL AS segment, NULL AS nation, NULL AS balance, NULL AS part FROM region
+  UNION ALL SELECT 'nation', NULL, NULL, NULL, NULL FROM nation
+  UNION ALL SELECT 'customer', c_mktsegment, c_nationkey, c_acctbal, NULL FROM customer
+  UNION ALL SELECT 'supplier', NULL, NULL, NULL, NULL FROM supplier
+  UNION ALL SELECT 'part', NULL, NULL, NULL, p_name FROM part
+  UNION ALL SELECT 'order', NULL, NULL, NULL, NULL FROM orders
+)"""
+
+
+@query(
+    "agg_many_keys_nulls",
+    f"""WITH {_ALL_NODES} SELECT kind, segment AS c_mktsegment, count(*) AS count_all, count(balance) AS balances, count(DISTINCT nation) AS nations,
+        round(avg(balance), 4) AS mean, round(sum(balance), 2) AS total, min(part) AS first_part FROM nodes GROUP BY kind, segment""",
+)
+def agg_many_keys_nulls(spark, sf_dir):
+    """Groups by two fields of which one is null for most kinds, over all nodes."""
+    aggs = [("COUNT", None, "count_all"), ("COUNT", "c_acctbal", "balances"), ("COUNT_DISTINCT", "c_nationkey", "nations")]
+    aggs += [("AVG", "c_acctbal", "mean"), ("SUM", "c_acctbal", "total"), ("MIN", "p_name", "first_part")]
+    out = P.aggregate(star_nodes(spark, sf_dir), aggs, ["kind", "c_mktsegment"])
+    return out.withColumns({"mean": F.round("mean", 4), "total": F.round("total", 2)})
+
+
+@query(
+    "nodes_string_order",
+    "SELECT 'customer:' || c_custkey AS id, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, 'customer:' || c_custkey LIMIT 20 OFFSET 5",
+)
+def nodes_string_order(spark, sf_dir):
+    customers = star_nodes(spark, sf_dir, ("customer",))
+    return customers.orderBy(*P.order_by(customers, "c_mktsegment", True)).offset(5).limit(20).select("id", "c_mktsegment")
+
+
+@query(
+    "ancestors_depth",
+    f"""WITH RECURSIVE {EDGES}, hops AS (SELECT DISTINCT src, dst FROM edges), walk(id, n) AS (
+          SELECT 'region:1', 0 UNION SELECT src, n + 1 FROM walk JOIN hops ON dst = id WHERE n < 3
+        ) SELECT id, min(n) AS depth FROM walk GROUP BY id""",
+)
+def ancestors_depth(spark, sf_dir):
+    """All nodes from which a region is reached in three hops."""
+    return G.bfs(G.reversed_edges(star_edges(spark, sf_dir)), "region:1", 3)
+
+
+@query(
+    "edges_degree_both",
+    f"""WITH {EDGES}, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
+        SELECT id, sum(o)::BIGINT AS out_edges, sum(i)::BIGINT AS in_edges FROM ends GROUP BY id HAVING sum(o) > 0 AND sum(i) > 0""",
+)
+def edges_degree_both(spark, sf_dir):
+    edges = star_edges(spark, sf_dir)
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    out = P.aggregate(ends, [("SUM", "o", "out_edges"), ("SUM", "i", "in_edges")], ["id"]).filter("out_edges > 0 and in_edges > 0")
+    return out.select("id", F.col("out_edges").cast("long").alias("out_edges"), F.col("in_edges").cast("long").alias("in_edges"))

@@ -190,12 +190,15 @@ class Engine(MemoryStatements, AdminStatements, VaultStatements):
 
     def _ancestors(self, start, depth, kind, limit) -> DataFrame:
         out = G.traverse(G.reversed_edges(self.catalog.edges), self.nodes, start, depth, kind)
-        out = public(out.withColumn("_query_anchor", F.col("id") == start))
-        return out.limit(limit) if limit is not None else out
+        return self._anchored(out, start, limit)
 
     def _descendants(self, start, depth, kind, limit) -> DataFrame:
-        out = public(G.traverse(self.catalog.edges, self.nodes, start, depth, kind).withColumn("_query_anchor", F.col("id") == start))
-        return out.limit(limit) if limit is not None else out
+        return self._anchored(G.traverse(self.catalog.edges, self.nodes, start, depth, kind), start, limit)
+
+    def _anchored(self, found, start, limit) -> DataFrame:
+        """The nearest ``limit`` nodes, the least ids of equally near ones."""
+        out = public(found.withColumn("_query_anchor", F.col("id") == start))
+        return out.orderBy("_depth", "id").limit(limit) if limit is not None else out
 
     def _path(self, a, b, most, kind) -> DataFrame:
         return G.shortest_path(visible_edges(self.catalog, kind), a, b, most)
@@ -220,7 +223,7 @@ class Engine(MemoryStatements, AdminStatements, VaultStatements):
         nodes = self.nodes
         rules = [(name, None if rule is None else P.compile_rule(nodes, rule)) for name, rule in steps]
         out = G.match_chain(nodes, self.catalog.edges, rules, kinds)
-        return out.limit(limit) if limit is not None else out
+        return out.orderBy(*out.columns).limit(limit) if limit is not None else out
 
     def _known(self, id: str) -> None:
         if not W.exists(self.nodes, id):
