@@ -215,6 +215,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Store ``docs`` in the shared folder, read every entry back, and return the contract's columns."""
     folder = new_path(docs.sparkSession, "media")
     rows, entries = store(docs, folder)
-    told = materialise(features(entries, folder), "features")
-    out = join_groups(rows, told, "digest", "copies", rows.count())
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
+    # digests move as 32 bytes, not as their 64 letters
+    digests = ("digest", "payload_sha256", "media_sha256")
+    columns = ("copies", "length", "n_bytes", "payload_bytes", "tail_crc32", "feature")
+    told = materialise(features(entries, folder).select(*columns, *(F.unhex(c).alias(c) for c in digests)), "features")
+    out = join_groups(rows.select("doc_id", F.unhex("digest").alias("digest")), told, "digest", "copies", rows.count())
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_bytes", "payload_bytes", text("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), text("media_sha256"), "feature")
