@@ -14,6 +14,9 @@ from ..functions.stem import stem
 from ..storage import materialise
 
 DAY_MS = 86_400_000
+#: Sign bits of a band at most, and the chance to miss a near pair.
+MAX_BITS = 24
+MISS = 1e-6
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -42,15 +45,20 @@ def binary_codes(vec: Column) -> Column:
     return F.array_join(F.transform(vec, lambda x: F.when(x >= 0, "1").otherwise("0")), "")
 
 
+def _banding(threshold: float, n: int) -> tuple[int, int]:
+    """Sign bits a band, and bands, for ``n`` vectors: about one vector a bucket by chance, and a miss of 1e-6 for a pair of ``threshold``."""
+    same = 1 - np.arccos(min(1.0, threshold)) / np.pi
+    bits = max(2, min(MAX_BITS, int(np.ceil(np.log2(max(n, 2))))))
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-(same**bits)))) if same < 1 else 1
+
+
 def _distinct_pairs(slim: DataFrame, threshold: float, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``v, id, n`` of the distinct vectors of ``slim`` (id, v), the id being the least, and their ``a, b, similarity`` of at least ``threshold``.
 
-    Sign random projections deal the vectors into bands; only vectors of one band are compared, exactly.
+    Sign random projections deal the vectors into the buckets of many bands; only vectors of one bucket are compared, exactly.
     """
-    same = 1 - np.arccos(min(1.0, threshold)) / np.pi
-    bits = max(2, min(24, int(np.log(0.25) / np.log(same)))) if same < 1 else 24
-    bands = int(np.ceil(np.log(1e-6) / np.log(1 - same**bits))) if same < 1 else 1
     unique = materialise(slim.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "unique")
+    bits, bands = _banding(threshold, unique.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -67,8 +75,11 @@ def _distinct_pairs(slim: DataFrame, threshold: float, seed: int = 7) -> tuple[D
     dealt = unique.select("id", "v").mapInArrow(keys, "id string, keys array<long>").select("id", F.explode("keys").alias("key"))
     dealt = materialise(dealt, "bands")
     met = dealt.withColumnRenamed("id", "a").join(dealt.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b").distinct()
-    left, right = unique.select(F.col("id").alias("a"), F.col("v").alias("va")), unique.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    close = met.join(left, "a").join(right, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    sized = unique.select("id", "v", norm(F.col("v")).alias("size"))
+    left = sized.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("na"))
+    right = sized.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("nb"))
+    similarity = dot(F.col("va"), F.col("vb")) / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))
+    close = met.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity"))
     return unique, close.filter(F.col("similarity") >= threshold)
 
 
