@@ -73,6 +73,24 @@ def test_exact_dedup(docs):
     assert kept.columns == docs.columns
 
 
+def test_deduplicate_keeps_one_row_of_each_text(spark):
+    rows = [(1, "Aa", "a"), (2, "aA", "b"), (3, "x", "c"), (3, "y", "d"), (4, "Y", "e"), (None, "z", "f"), (None, "Z", "g"), (None, "q", "h"), (5, "q", "i")]
+    rows += [(6, "r", "j"), (6, "r", "j"), (6, "r", None), (7, None, "k"), (8, "", "l"), (8, "", "l"), (9, "é", "m"), (10, "É", "n")]
+    rows += [(11, "often", str(i)) for i in range(400)] + [(12, "w" * 200_000, "o"), (13, "W" * 200_000, "p")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __digest string")
+    kept = exact_dedup.deduplicate(table)
+    assert kept.columns == table.columns
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    want = {}
+    for i, t, _ in rows:
+        t = (t or "").translate(lower)
+        want[t] = max(want.get(t, -1), -1 if i is None else i)
+    found = kept.collect()
+    assert sorted(((r.text or "").translate(lower), -1 if r.doc_id is None else r.doc_id) for r in found) == sorted(want.items())
+    assert {tuple(r) for r in found} <= set(rows)
+    assert not exact_dedup.deduplicate(table.limit(0)).collect()
+
+
 def test_sentencepiece_and_media(docs):
     import sentencepiece
 

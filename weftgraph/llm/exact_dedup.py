@@ -10,13 +10,18 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .common import free_name, join_groups, materialise, text_of
 
 
+def _sha256(text_col: str) -> Column:
+    normal = F.translate(text_of(text_col), string.ascii_uppercase, string.ascii_lowercase)
+    return F.sha2(normal.cast("binary"), 256)
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -26,10 +31,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows with one id and text are each counted in ``group_size`` and share ``kept``.
     An empty table gives an empty result; other columns are not read.
     """
-    normal = F.translate(text_of(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    keys = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest")), "digests"
-    )
+    keys = materialise(docs.select(F.col(id_col).alias("doc_id"), F.unhex(_sha256(text_col)).alias("digest")), "digests")
     total = keys.count()
     n_blocks = bloom.blocks_for(total)
     twice = bloom.build(keys, "digest", n_blocks, at_least=2)
@@ -65,10 +67,24 @@ def drop_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per distinct normalised text, all columns kept."""
-    found = classify(docs, id_col, text_col)
-    lost = materialise(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)), "lost")
-    return drop_ids(docs, lost, lost.count(), id_col)
+    """``docs`` with one row per distinct normalised text, all columns kept.
+
+    The row with the largest id stays; where several rows have this id (or none has an id), one of them, which may be
+    any if their other columns differ. Another text under the id of a dropped one isn't touched. A bounded
+    Bloom filter of the ids concerned lets nearly all other rows pass without a shuffle or a second digest.
+    """
+    found = classify(docs, id_col, text_col).filter("group_size > 1")
+    rows = found.groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
+    rows = materialise(rows.select("doc_id", "text_sha256", "kept"), "lost")
+    ids = rows.select("doc_id").distinct()
+    n_blocks = bloom.blocks_for(rows.count())
+    maybe, digest = free_name(docs, "__maybe"), free_name(docs, "__digest")
+    seen = bloom.probe(docs, F.col(id_col), bloom.build(ids, "doc_id", n_blocks), n_blocks, maybe)
+    passed = seen.filter(~F.col(maybe)).drop(maybe)
+    doubtful = seen.filter(F.col(maybe)).drop(maybe).withColumn(digest, _sha256(text_col)).alias("d")
+    lost = rows.filter(~F.col("kept")).select("doc_id", "text_sha256").alias("l")
+    rest = doubtful.join(lost, F.col(f"d.`{id_col}`").eqNullSafe(F.col("l.doc_id")) & (F.col(f"d.`{digest}`") == F.col("l.text_sha256")), "left_anti")
+    return passed.unionByName(rest.dropDuplicates([digest]).select(passed.columns))
 
 
 ORACLE = """
