@@ -25,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of each group of equal texts; rows that repeat it, id and all, and rows without an id stay."""
+    """Keeps one row of each group of equal texts, that with the largest doc_id; another text under a dropped row's id stays."""
     return exact_dedup.deduplicate(docs)
 
 
