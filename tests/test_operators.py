@@ -144,3 +144,17 @@ def test_chunks_and_dates():
     assert temporal.parse_date("3 February 2024", NOW) == temporal.parse_date("February 3, 2024", NOW) == day
     assert temporal.parse_date("2 days ago", NOW) == NOW - 2 * temporal.DAY_MS
     assert all(a < b for a, b in pairwise(temporal.extract_dates("2023-01-02 and 2024-01-02", NOW)))
+
+
+def test_rrf_ranks_as_by_hand(spark):
+    rows = [(i, [None, 0.0, -1.0, 2.0, 2.0, float(i)][i % 6], float(i % 7)) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, a double, b double")
+
+    def places(values):
+        good = sorted((v for v in values if v is not None and v > 0), reverse=True)
+        return [good.index(v) + 1 + (good.count(v) - 1) / 2 if v is not None and v > 0 else len(values) for v in values]
+
+    want = {i: 1 / (60 + x) + 1 / (60 + y) for i, x, y in zip(range(300), places([r[1] for r in rows]), places([r[2] for r in rows]), strict=True)}
+    found = {r.id: r.rrf for r in R.rrf(table, ["a", "b"]).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-12 for i in want)
+    assert not R.rrf(table.limit(0), ["a"]).collect()

@@ -191,20 +191,30 @@ def recency(age_ms: Column, half_life_days: float) -> Column:
     return F.exp(-(age_ms / DAY_MS) / half_life_days)
 
 
+def _places(scored: DataFrame, signal: str) -> DataFrame:
+    """``signal, place`` of each positive value: its rank from the top, ties having their average rank.
+
+    Values are counted, dealt into ranges and ranked inside these, so no task holds more than a range of values; only the ranges' totals meet.
+    """
+    counts = scored.filter(F.col(signal) > 0).groupBy(signal).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = materialise(counts.repartitionByRange(F.desc(signal)).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__part").agg(F.sum("__n").alias("__total"))
+    above = totals.select("__part", (F.sum("__total").over(Window.orderBy("__part")) - F.col("__total")).alias("__above"))
+    inside = F.sum("__n").over(Window.partitionBy("__part").orderBy(F.desc(signal)))
+    return dealt.join(F.broadcast(above), "__part").select(signal, (F.col("__above") + inside - F.col("__n") + 1 + (F.col("__n") - 1) / 2).alias("__place"))
+
+
 def rrf(scored: DataFrame, signals: list[str], ident: str = "id", k: int = 60) -> DataFrame:
-    """``id, rrf``: the sum of 1 / (k + rank), ties having their average rank; no signal at all ranks last.
+    """``id, rrf``: the sum of 1 / (k + rank), ties having their average rank; a signal that is null or not positive ranks last.
 
-    A rank over all rows needs one sorted pass; candidates are a top-k by then.
+    Rows are written once and joined with the places of their values; no rank is taken over all rows in one task.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    total = F.lit(0.0)
-    out = scored
+    out = materialise(scored.select(ident, *signals), "scored")
+    last, total = F.lit(out.count()), F.lit(0.0)
+    scores = out
     for s in signals:
-        rank = F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(s)))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(s))
-        place = F.when(F.col(s) > 0, rank + (ties - 1) / 2).otherwise(n)
-        out = out.withColumn(f"__r_{s}", place)
-        total = total + 1 / (k + F.col(f"__r_{s}"))
+        out = out.join(_places(scores, s).withColumnRenamed("__place", f"__r_{s}"), s, "left")
+        total = total + 1 / (k + F.coalesce(F.col(f"__r_{s}"), last))
     return out.select(ident, total.alias("rrf"))
 
 
