@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 pytest.importorskip("weftgraph.llm")
 
 from tests.llm.test_llm import rows_of  # noqa: E402
+import weftgraph.llm.components as linked  # noqa: E402
 from weftgraph.llm import order_minhash, queries  # noqa: E402
 
 HASHES = order_minhash._Hashes()
@@ -185,3 +186,45 @@ def test_query_keeps_every_row(spark):
     table = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert len(rows) == len(table)
     check(sorted(table.items()), {r.doc_id: r.class_id for r in rows})
+
+
+def test_deals_make_rows_only_for_buckets_of_several(spark, monkeypatch):
+    """Of the spots of texts with a common passage, those that no other text has are left out before they are rows."""
+    made, plain_one = [], order_minhash.materialise
+
+    def counted(df, label):
+        out = plain_one(df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(order_minhash, "materialise", counted)
+    texts = [(i, " ".join(w)) for i, w in enumerate(_passage(random.Random(5), 60))]
+    order_minhash._anew(spark.createDataFrame(texts, "doc_id long, text string"), 0.8)
+    made = dict(made)
+    assert made["rows"] <= made["spread"] <= 1.2 * made["rows"] + 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_components_of_few_links(links):
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    nodes, labels = linked.labelled(pairs[:, 0], pairs[:, 1])
+    want = components(31, links)
+    assert nodes.tolist() == sorted({v for pair in links for v in pair})
+    assert all(want[v] == label for v, label in zip(nodes.tolist(), labels.tolist(), strict=True))
+
+
+def test_components_in_few_jobs(spark, monkeypatch):
+    """A few links take a few jobs however long their chains are; rounds of joins give the same labels."""
+    links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(205, 200), (200, 205), (201, 201)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("few links", "")
+    found = {r.node: r.label for r in linked.components(table).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(jobs) <= 6
+    monkeypatch.setattr(linked, "MAX_LINKS", 0)
+    rounds = {r.node: r.label for r in linked.components(table).collect()}
+    del found[201]  # a link with itself is no link in rounds
+    assert found == rounds and found[60] == 0 and found[129] == 100 and found[205] == 200
+    assert not linked.components(table.limit(0)).collect()

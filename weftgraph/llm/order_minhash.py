@@ -221,20 +221,39 @@ def _cells(texts: pa.Array, hashes: dict[str, int]) -> Iterator[tuple[int, np.nd
         yield len(w), x, (x >> np.uint64(42)).astype(np.int64)
 
 
+_COUNTS = "part int, block int, counts binary"
+
+
+def _blocks(cells: np.ndarray) -> pa.RecordBatch:
+    """One task's counters, by blocks that aren't empty."""
+    full = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
+    part = TaskContext.get().partitionId()
+    data = [cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in full]
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "counts"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     drop_caches()
     hashes, cells = _Hashes(), np.zeros(CELLS, np.uint32)
     for batch in batches:
         for _, _, at in _cells(batch.column(1), hashes):
             np.add.at(cells, at, 1)
-    full = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
-    part = TaskContext.get().partitionId()
-    data = [cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in full]
-    yield pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "counts"])
+    yield _blocks(cells)
     hashes.clear()
     release_memory()
 
 
+def _cell_of(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * _P >> np.uint64(42)).astype(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(CELLS, np.uint32)
+    for batch in batches:
+        np.add.at(cells, _cell_of(batch.column(0).flatten().to_numpy(zero_copy_only=False)), 1)
+    yield _blocks(cells)
+
+
 def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.uint32)
     for data in table.column("counts"):
@@ -242,21 +261,53 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """Counters of the shingles of all ``texts``, summed in a tree, so that no task holds more than ``ARITY`` tasks' blocks."""
-    schema = "part int, block int, counts binary"
-    parts = materialise(texts.mapInArrow(_counted, schema), "counts")
+def _totals(rows: DataFrame, counted) -> DataFrame:
+    """Blocks of counters summed in a tree, so that no task holds more than ``ARITY`` tasks' blocks."""
+    parts = materialise(rows.mapInArrow(counted, _COUNTS), "counts")
     most = parts.agg(F.max("part")).first()[0] or 0
     while most:
-        parts = parts.withColumn("part", F.floor(F.col("part") / ARITY).cast("int")).groupBy("part", "block").applyInArrow(_summed, schema)
+        parts = parts.withColumn("part", F.floor(F.col("part") / ARITY).cast("int")).groupBy("part", "block").applyInArrow(_summed, _COUNTS)
         most //= ARITY
-    cells = np.zeros(CELLS, np.uint32)
-    for row in parts.toLocalIterator():
-        cells[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.uint32)
-    return cells
+    return parts
+
 
+def _grade(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: 0 and 1 as they are, others by eighths of powers of two."""
+    return np.where(counts > 0, 1 + np.minimum(254, 8 * np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
 
-def _spots(x: np.ndarray, often: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [np.frombuffer(data.as_py(), np.uint32) for data in batch.column(2)]
+        columns = [batch.column(1), pa.array([_grade(c).tobytes() for c in counts], pa.binary())]
+        columns += [pa.array([int(f(c)) for c in counts], pa.int64()) for f in (np.sum, np.count_nonzero)]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "grades", "total", "used"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [np.packbits(np.frombuffer(data.as_py(), np.uint32) > 1).tobytes() for data in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bits, pa.binary())], names=["block", "bits"])
+
+
+def _rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Grades of how often the shingles of ``texts`` occur, and the grade from which one is frequent (that above ``FREQUENT`` means)."""
+    grades, total, used = np.zeros(CELLS, np.uint8), 0, 0
+    for row in _totals(texts, _counted).mapInArrow(_graded, "block int, grades binary, total long, used long").collect():
+        grades[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.grades, np.uint8)
+        total, used = total + row.total, used + row.used
+    return grades, int(_grade(np.array(FREQUENT * total / max(1, used)))) + 1
+
+
+def _shared_keys(spots: DataFrame) -> np.ndarray:
+    """Bits of the counters that several bucket keys of ``spots`` meet in; a key elsewhere is that of one text."""
+    bits = np.zeros(CELLS // 8, np.uint8)
+    for row in _totals(spots.select(F.col("spots.bucket").alias("buckets")), _keyed).mapInArrow(_repeated, "block int, bits binary").collect():
+        bits[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def _spots(x: np.ndarray, often: np.ndarray, frequent: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, place in the order of rarity and whether it may lead, for each spot of a text of a crowded bucket."""
     n = len(x)
     follow = n - int(np.ceil(threshold * n - 1e-9)) + 1
@@ -268,15 +319,13 @@ def _spots(x: np.ndarray, often: np.ndarray, frequent: float, threshold: float)
     return keys, np.concatenate([place, np.zeros(len(again), np.int64)]), np.concatenate([place < lead, np.ones(len(again), bool)])
 
 
-def _dealt(cells: np.ndarray, threshold: float):
-    frequent = FREQUENT * cells[cells > 0].mean() if cells.any() else 0.0
-
+def _dealt(grades: np.ndarray, frequent: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             sizes, ends, found = [], [0], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
             for words, x, at in _cells(batch.column(1), hashes):
-                found.append(_spots(x, cells[at], frequent, threshold))
+                found.append(_spots(x, grades[at], frequent, threshold))
                 sizes.append(words)
                 ends.append(ends[-1] + len(found[-1][0]))
             columns = [pa.array(np.concatenate(column)) for column in zip(*found, strict=True)]
@@ -288,21 +337,45 @@ def _dealt(cells: np.ndarray, threshold: float):
     return run
 
 
+def _met(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column(2).flatten()
+            keys = spots.field("bucket").to_numpy(zero_copy_only=False)
+            at = _cell_of(keys)
+            kept = pa.array(np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1))
+            of = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))).take(kept)
+            columns = [batch.column(0).take(of), batch.column(1).take(of), *(spots.field(name).take(kept) for name in ("bucket", "at", "lead"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "bucket", "at", "lead"])
+        release_memory()
+
+    return run
+
+
 def _anew(texts: DataFrame, threshold: float) -> DataFrame:
     """``_rows`` of the texts of crowded buckets, dealt by prefixes and by sketches of their shingles that aren't frequent.
 
     With the n shingles of a text in order of rarity, two texts that share ``threshold`` of them have one in common among
     the first n - ceil(threshold * n) + 1 of the longer (it may follow) and the first
     n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the shorter (it may lead). Any order will
-    do; rarity is estimated by ``CELLS`` counters, so a shingle counted once has no partner.
+    do; rarity is estimated by ``CELLS`` counters, so a shingle counted once has no partner. As many counters
+    tell most buckets that have one text only, before any of their rows are made; results don't depend on them.
     """
-    held = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
+    context = texts.sparkSession.sparkContext
+    held = context.broadcast(_rarity(texts))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _dealt(held.value, threshold)(batches)
+        yield from _dealt(*held.value, threshold)(batches)
 
     found = materialise(texts.mapInArrow(dealt, "doc long, n long, spots array<struct<bucket: long, at: long, lead: boolean>>"), "spots")
-    spread = found.select("doc", "n", F.explode("spots").alias("spot")).select("doc", "n", "spot.*")
+    held.destroy()
+    several = context.broadcast(_shared_keys(found))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _met(several.value)(batches)
+
+    spread = materialise(found.mapInArrow(met, "doc long, n long, bucket long, at long, lead boolean"), "spread")
+    several.destroy()
     return _rows(spread, -F.first("n"))
 
 
