@@ -7,6 +7,7 @@ import string
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,3 +185,16 @@ def test_pipeline_keeps_clean_documents(spark):
     out = corpus_pipeline.run(spark, folder)
     near = order_minhash.near_duplicates(exact_dedup.deduplicate(spark.read.parquet(f"{folder}/documents.parquet"))).filter("kept").count()
     assert out.select("doc_id").distinct().count() == near
+
+
+def test_a_word_merged_otherwise_is_an_error(monkeypatch):
+    """Ids of new words are lists up to the comparison with the library, and bytes in the words that are kept."""
+    encoder = sentencepiece_bpe.Encoder(MODEL)
+    encoder.encode("some new words")
+    assert all(type(ids) is list and encoder.words[key] == np.array(ids, np.int32).tobytes() for key, ids in encoder.fresh)
+    encoder.check()
+    assert not encoder.fresh
+    monkeypatch.setattr(encoder, "merge", lambda word: [1])
+    encoder.encode("another")
+    with pytest.raises(ValueError, match="another"):
+        encoder.check()

@@ -11,6 +11,7 @@ a difference is an error.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -26,7 +27,7 @@ from .common import kept_cache, release_memory, small_batches
 
 SPACE = "▁"
 #: A worker keeps the first this many words it meets, and starts anew after as many misses; longer words aren't kept.
-MAX_WORDS_KEPT = 400_000
+MAX_WORDS_KEPT = 600_000
 MAX_MISSES = 4_000_000
 MAX_WORD_KEPT = 48
 CHECK_EVERY = 4
@@ -51,7 +52,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.misses = 0
         #: Words merged since the last check, and their ids.
-        self.fresh: list[tuple[str, bytes]] = []
+        self.fresh: list[tuple[str, list[int]]] = []
         self.decimals = [str(i) for i in range(m.vocab_size())]
         self.split = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -74,12 +75,12 @@ class Encoder:
             if i and (x := order(word[(h := starts[i]) : e])) is not None:
                 push(agenda, (x, h, e))
         out: list[int] = []
-        i = 0
+        i, known = 0, self.ids.get
         while i < n:
             s = word[i : ends[i]]
             i = ends[i]
-            if s in self.ids:
-                out.append(self.ids[s])
+            if (found := known(s)) is not None:
+                out.append(found)
             elif self.bytes:
                 out.extend(self.bytes[b] for b in s.encode("utf-8"))
             elif not out or out[-1] != self.unknown:
@@ -88,8 +89,9 @@ class Encoder:
 
     def word(self, key: str) -> bytes:
         """Ids of one word as 32-bit integers; a key is a word without its meta space, or begins with a line break."""
-        found = np.array(self.merge(key if key.startswith("\n") and self.breaks else SPACE + key), np.int32).tobytes()
-        self.fresh.append((key, found))
+        ids = self.merge(key if key.startswith("\n") and self.breaks else SPACE + key)
+        self.fresh.append((key, ids))
+        found = array("i", ids).tobytes()
         self.misses += 1
         if self.misses > MAX_MISSES:
             self.words.clear()
@@ -104,7 +106,7 @@ class Encoder:
         fresh = [(k, ids) for k, ids in self.fresh if k and k[0] not in (SPACE, "\n")] if self.breaks and not self.crossing else []
         self.fresh = []
         for (key, ids), want in zip(fresh, self.library.encode([k for k, _ in fresh], num_threads=1), strict=True):
-            if ids != np.array(want, np.int32).tobytes():
+            if ids != want:
                 raise ValueError(f"the library encodes the word {key!r} otherwise")
 
     def keys(self, text: str) -> list[str]:
