@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -198,3 +199,29 @@ def test_a_word_merged_otherwise_is_an_error(monkeypatch):
     encoder.encode("another")
     with pytest.raises(ValueError, match="another"):
         encoder.check()
+
+
+def test_few_texts_are_encoded_at_once(monkeypatch):
+    """Ids of a few texts at a time are held; of a batch, each fourth whole text is compared wherever the steps begin."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [None if i == 40 else f"text {i} of\nsome  words " * (i % 5) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    out = list(sentencepiece_bpe._run(MODEL, True, 4)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 32
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(100))
+    assert [i for b in out for i in b.column(4).to_pylist()] == library.encode([t or "" for t in texts], add_eos=True)
+    compared = []
+
+    class Seen:
+        decode = library.decode
+
+        def encode(self, given, **how):
+            compared.extend(given if how.get("add_eos") else [])
+            return library.encode(given, **how)
+
+    monkeypatch.setattr(sentencepiece_bpe.encoder_of(MODEL), "library", Seen())
+    monkeypatch.setattr(sentencepiece_bpe, "AT_ONCE", 6)
+    list(sentencepiece_bpe._run(MODEL, False, 4)(iter([batch])))
+    assert compared == [t or "" for t in texts[::4]]

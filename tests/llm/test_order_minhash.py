@@ -228,3 +228,27 @@ def test_components_in_few_jobs(spark, monkeypatch):
     del found[201]  # a link with itself is no link in rounds
     assert found == rounds and found[60] == 0 and found[129] == 100 and found[205] == 200
     assert not linked.components(table.limit(0)).collect()
+
+
+def test_one_python_node_a_stage(spark, monkeypatch):
+    """Sums are graded by the worker that makes them, as two Python nodes in a stage take two workers a core; any number of parts and rounds gives the plain counts."""
+    frame = type(spark.range(0))
+    plans, plain_one = [], frame.collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain_one(df)
+
+    rows = [(i, " ".join(w)) for i, w in enumerate(_passage(random.Random(5), 40))]
+    counts = np.bincount(np.concatenate([order_minhash.shingles(coded(t)) >> np.uint64(42) for _, t in rows]).astype(np.int64), minlength=order_minhash.CELLS)
+    monkeypatch.setattr(frame, "collect", seen)
+    monkeypatch.setattr(order_minhash, "ARITY", 2)
+    for parts in (1, 2, 5):
+        texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        assert (order_minhash._rarity(texts)[0] == order_minhash._grade(counts)).all()
+        spots = spark.createDataFrame([(i, [(7 + i % 3, 0, True), (100 + i, 0, True)]) for i in range(9)], "doc long, spots array<struct<bucket: long, at: long, lead: boolean>>")
+        bits = np.unpackbits(order_minhash._shared_keys(spots.repartition(parts, "doc")))
+        assert np.flatnonzero(bits).tolist() == sorted(order_minhash._cell_of(np.array([7, 8, 9])).tolist())
+    for plan in plans:
+        stages = plan.split("== Initial Plan ==")[0].split("Exchange")
+        assert all(stage.count("InArrow") <= 1 for stage in stages), plan

@@ -261,13 +261,24 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _totals(rows: DataFrame, counted) -> DataFrame:
-    """Blocks of counters summed in a tree, so that no task holds more than ``ARITY`` tasks' blocks."""
+def _totals(rows: DataFrame, counted, told, schema: str) -> DataFrame:
+    """What ``told`` says of the blocks of counters, summed in a tree, so that no task holds more than ``ARITY`` tasks' blocks.
+
+    The last sums are told by the worker that makes them: a stage with two Python nodes starts two workers a core,
+    which outlive it and take turns at all later tasks, so that what a worker keeps is kept twice over.
+    """
     parts = materialise(rows.mapInArrow(counted, _COUNTS), "counts")
     most = parts.agg(F.max("part")).first()[0] or 0
+    if not most:
+        return parts.mapInArrow(told, schema)
+
+    def last(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(told(_summed(table).to_batches()))
+
     while most:
-        parts = parts.withColumn("part", F.floor(F.col("part") / ARITY).cast("int")).groupBy("part", "block").applyInArrow(_summed, _COUNTS)
         most //= ARITY
+        groups = parts.withColumn("part", F.floor(F.col("part") / ARITY).cast("int")).groupBy("part", "block")
+        parts = groups.applyInArrow(_summed, _COUNTS) if most else groups.applyInArrow(last, schema)
     return parts
 
 
@@ -293,7 +304,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Grades of how often the shingles of ``texts`` occur, and the grade from which one is frequent (that above ``FREQUENT`` means)."""
     grades, total, used = np.zeros(CELLS, np.uint8), 0, 0
-    for row in _totals(texts, _counted).mapInArrow(_graded, "block int, grades binary, total long, used long").collect():
+    for row in _totals(texts, _counted, _graded, "block int, grades binary, total long, used long").collect():
         grades[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.grades, np.uint8)
         total, used = total + row.total, used + row.used
     return grades, int(_grade(np.array(FREQUENT * total / max(1, used)))) + 1
@@ -302,7 +313,7 @@ def _rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
 def _shared_keys(spots: DataFrame) -> np.ndarray:
     """Bits of the counters that several bucket keys of ``spots`` meet in; a key elsewhere is that of one text."""
     bits = np.zeros(CELLS // 8, np.uint8)
-    for row in _totals(spots.select(F.col("spots.bucket").alias("buckets")), _keyed).mapInArrow(_repeated, "block int, bits binary").collect():
+    for row in _totals(spots.select(F.col("spots.bucket").alias("buckets")), _keyed, _repeated, "block int, bits binary").collect():
         bits[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 

@@ -31,6 +31,8 @@ MAX_WORDS_KEPT = 600_000
 MAX_MISSES = 4_000_000
 MAX_WORD_KEPT = 48
 CHECK_EVERY = 4
+#: Texts that are encoded, compared and decoded in one step.
+AT_ONCE = 32
 
 
 class Encoder:
@@ -140,29 +142,36 @@ def _sha(text: str) -> str:
     return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _encoded(encoder: Encoder, batch: pa.RecordBatch, with_ids: bool, check_every: int, first: int) -> pa.RecordBatch:
+    """Rows of the result; of the texts, that at ``first`` and each ``check_every``-th after it are compared with the library."""
+    library = encoder.library
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    ids = [encoder.encode(t) for t in texts]
+    encoder.check()
+    expected = library.encode(texts[first::check_every], add_eos=True, num_threads=1)
+    if ids[first::check_every] != expected:
+        wrong = next(i for i, want in enumerate(expected) if ids[first + i * check_every] != want)
+        raise ValueError(f"the library encodes the text of id {batch.column(0)[first + wrong * check_every]} otherwise")
+    decimals = encoder.decimals.__getitem__
+    decoded = library.decode(ids, num_threads=1)
+    columns = {
+        "doc_id": batch.column(0),
+        "n_tokens": pa.array(map(len, ids), pa.int64()),
+        "ids_sha256": pa.array([sha256(" ".join(map(decimals, x)).encode()).hexdigest() for x in ids], pa.string()),
+        "decoded_sha256": pa.array(map(_sha, decoded), pa.string()),
+    }
+    if with_ids:
+        columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def _run(model_path: str, with_ids: bool, check_every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_path)
-        library = encoder.library
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [encoder.encode(t) for t in texts]
-            encoder.check()
-            expected = library.encode(texts[::check_every], add_eos=True, num_threads=1)
-            if ids[::check_every] != expected:
-                wrong = next(i for i, want in enumerate(expected) if ids[i * check_every] != want)
-                raise ValueError(f"the library encodes the text of id {batch.column(0)[wrong * check_every]} otherwise")
-            decimals = encoder.decimals.__getitem__
-            decoded = library.decode(ids, num_threads=1)
-            columns = {
-                "doc_id": batch.column(0),
-                "n_tokens": pa.array(map(len, ids), pa.int64()),
-                "ids_sha256": pa.array([sha256(" ".join(map(decimals, x)).encode()).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": pa.array(map(_sha, decoded), pa.string()),
-            }
-            if with_ids:
-                columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
-            yield pa.RecordBatch.from_pydict(columns)
+            # the ids and words of a few texts at once, as they take many times the room of the texts
+            for start in range(0, batch.num_rows, AT_ONCE):
+                yield _encoded(encoder, batch.slice(start, AT_ONCE), with_ids, check_every, -start % check_every)
         release_memory()
 
     return run
